@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from blockloom.llm import op3_token_counts
+from blockloom.llm import op2_packing, op3_token_counts, op6_topk
 
-MODULES = (op3_token_counts,)
+MODULES = (op2_packing, op3_token_counts, op6_topk)
 
 
 def queries() -> dict:
