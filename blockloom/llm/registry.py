@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from blockloom.llm import op2_packing, op3_token_counts, op6_topk
+from blockloom.llm import op2_packing, op3_token_counts, op6_topk, op8_tiff, op9_url_filter
 
-MODULES = (op2_packing, op3_token_counts, op6_topk)
+MODULES = (op2_packing, op3_token_counts, op6_topk, op8_tiff, op9_url_filter)
 
 
 def queries() -> dict:
