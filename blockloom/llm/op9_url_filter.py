@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import table
+from blockloom.llm.common import stash, table
 
 #: (verdict, host and path); the host ends before the first slash.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -79,8 +79,10 @@ def templates(labelled: DataFrame, max_children: int = MAX_CHILDREN, rare_share:
         .agg(F.count("*").alias("n"), F.count("is_block").alias("labels"), F.coalesce(F.sum("is_block"), F.lit(0)).alias("blocks"))
         .select("*", level(1).alias("s1"), level(2).alias("s2"), level(3).alias("s3"), tail.alias("tail"))
     )
+    paths = stash(paths)
     for i, keys in ((1, ["host"]), (2, ["host", "t1"]), (3, ["host", "t1", "t2"])):
-        paths = _generalise(paths, keys, f"s{i}", f"t{i}", max_children, rare_share)
+        # Each level reads the one before several times: a written table keeps the plan short.
+        paths = stash(_generalise(paths, keys, f"s{i}", f"t{i}", max_children, rare_share))
     return paths
 
 
@@ -94,13 +96,13 @@ def purities(paths: DataFrame, smoothing: float = SMOOTHING, prior: float = PRIO
         child = paths.groupBy(*keys, t).agg(F.sum("labels").alias("labels"), F.sum("blocks").alias("blocks")).join(parent, keys)
         rate, mean = F.try_divide("blocks", "labels"), F.try_divide("p_blocks", "p_labels")
         z = F.abs(rate - mean) * F.sqrt("labels") / F.sqrt(mean * (1 - mean) + 1e-9)
-        child = child.withColumn("similar", F.coalesce(z < z_similar, F.lit(True)))
+        child = stash(child.withColumn("similar", F.coalesce(z < z_similar, F.lit(True))))
         merged = child.where("similar").groupBy(*keys).agg(F.sum("labels").alias("m_labels"), F.sum("blocks").alias("m_blocks"))
         child = child.join(merged, keys, "left")
         labels = F.when(F.col("similar"), F.col("m_labels")).otherwise(F.col("labels"))
         blocks = F.when(F.col("similar"), F.col("m_blocks")).otherwise(F.col("blocks"))
         keys = [*keys, t]
-        node = child.select(*keys, "labels", "blocks", ((blocks + smoothing * F.col("p_purity")) / (labels + smoothing)).alias("purity"))
+        node = stash(child.select(*keys, "labels", "blocks", ((blocks + smoothing * F.col("p_purity")) / (labels + smoothing)).alias("purity")))
     return node.select(*keys, "purity")
 
 
