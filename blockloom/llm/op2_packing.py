@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", ca
     ddl = f"{id_column} {src.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.PreTokenCache(path, kind)
+        cache = tokens.worker_cache(tokens.PreTokenCache, path, kind)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             items = [x or "" for x in batch.column(1).to_pylist()]

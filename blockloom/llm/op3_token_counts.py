@@ -34,9 +34,9 @@ def frequent_lengths(docs: DataFrame, path: str, kind: str, column: str = "text"
     Learnt from the openings of at most ``sample_rows`` rows, at most ``sample_chars`` long.  That bounds the driver's work;
     results do not depend on it, since misses are encoded.
     """
-    rows = docs.select(F.substring(F.col(column), 1, sample_chars).alias("t")).where("t is not null").limit(sample_rows).toArrow()
+    rows = docs.select(F.substring(F.col(column), 1, sample_chars).alias("t")).where("t is not null").take(sample_rows)  # stops reading once it has them
     cache = tokens.LengthCache(path, kind, most=1 << 30)
-    split = [cache.pieces(x) for x in rows.column(0).to_pylist() if tokens.is_safe(x)]
+    split = [cache.pieces(x) for (x,) in rows if tokens.is_safe(x)]
     common = [x for x, n in Counter(chain.from_iterable(split)).most_common(table_size) if "\n" not in x]
     cache.fill([common])
     kept = [x for x in common if cache.found[x] < 256]
@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, kind: str = "word_bp
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, lengths = frequent.value
         known = dict(zip(words.decode().split("\n"), lengths, strict=True)) if lengths else {}
-        cache = tokens.LengthCache(path, kind, known)
+        cache = tokens.worker_cache(tokens.LengthCache, path, kind, known)
         for batch in batches:
             items = [x or "" for x in batch.to_pylist()]
             counts = np.zeros(len(items), np.int64)

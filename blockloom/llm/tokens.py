@@ -8,10 +8,9 @@ and any text that might hold a special token's string, goes to the library whole
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
-import numpy as np
-
 #: Texts of these characters alone are split here.  Outside it Unicode tables of libraries may differ.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
@@ -40,7 +39,7 @@ def load(path: str):
 class PreTokenCache:
     """Pre-token -> value, filled for whole batches of misses and cleared when it would outgrow its bound."""
 
-    def __init__(self, path: str, kind: str, known: dict | None = None, most: int = 400_000):
+    def __init__(self, path: str, kind: str, known: dict | None = None, most: int = 1_000_000):
         self.tokenizer, self.kind, self.split, self.most = load(path), kind, SPLITS[kind].findall, most
         self.known = dict(known or {})
         self.found = dict(self.known)
@@ -48,12 +47,12 @@ class PreTokenCache:
     def pieces(self, text: str) -> list[str]:
         return self.split(text.lower() if self.kind == "word_bpe" else text)
 
-    def value(self, ids: np.ndarray):
-        """What is kept of a pre-token's ids: the ids themselves."""
-        return ids.astype("<u4").tobytes()
+    def value(self, ids: list[int]):
+        """What is kept of a pre-token's ids: the ids themselves, as 32-bit little-endian."""
+        return array("I", ids).tobytes()
 
     def whole(self, text: str):
-        return self.value(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64))
+        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def fill(self, split: list[list[str]]) -> None:
         """Encode what this batch has and the cache has not."""
@@ -63,35 +62,32 @@ class PreTokenCache:
             missing = list(set(chain.from_iterable(split)).difference(self.found))
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            # Separated by a line break each is a pre-token of its own; blank ones would merge with it.
-            joint = [x for x in part if not x[-1].isspace()]
-            if joint:
-                self._joint(joint)
-            for x in part:
-                if x[-1].isspace():
-                    self.found[x] = self.whole(x)
-
-    def _joint(self, joint: list[str]) -> None:
-        got = self.tokenizer.encode("\n" + "\n".join(joint), add_special_tokens=False)
-        words, ids = np.asarray(got.word_ids, np.int64), np.asarray(got.ids, np.int64)
-        step = 2 if self.kind == "byte_bpe" else 1
-        if len(words) and words[-1] + 1 == step * len(joint):
-            bounds = np.searchsorted(words, np.arange(step * len(joint) + 1))
-            starts, ends = bounds[step - 1 : -1 : step], bounds[step::step]
-            for x, a, b in zip(joint, starts.tolist(), ends.tolist(), strict=True):
-                self.found[x] = self.value(ids[a:b])
-        else:  # split otherwise than expected: one by one
-            for x in joint:
-                self.found[x] = self.whole(x)
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.found.update(zip(part, [self.value(x.ids) for x in got], strict=True))
 
 
 class LengthCache(PreTokenCache):
     """Pre-token -> number of tokens."""
 
-    def value(self, ids: np.ndarray):
+    def value(self, ids: list[int]):
         return len(ids)
 
 
+_kept: dict[tuple, PreTokenCache] = {}
+
+
+def worker_cache(cls: type[PreTokenCache], path: str, kind: str, known: dict | None = None) -> PreTokenCache:
+    """One cache per worker process, tokenizer and kind of value: later tasks of the worker find it filled."""
+    key = (cls.__name__, path, kind)
+    if key not in _kept:
+        _kept[key] = cls(path, kind, known)
+    elif known:
+        _kept[key].known = known
+        for x, n in known.items():
+            _kept[key].found.setdefault(x, n)
+    return _kept[key]
+
+
 def slices(items: list[str], most_chars: int = 4 << 20):
     """Consecutive runs of texts of bounded total length (a longer text stands alone)."""
     start = total = 0
