@@ -78,3 +78,32 @@ def text_or_empty(name: str = "text"):
 def doc_hash(*columns):
     """Deterministic order and salt for rows: the hash of the given columns."""
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in columns])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_if, rows: int, most_bytes: int = 200_000, id_column: str = "doc_id", column: str = "text", also: tuple[str, ...] = ()) -> pa.Table:
+    """At most ``rows`` labelled rows (text, label, and columns of ``also``) for fitting, in a fixed pseudo-random order.
+
+    The bound holds the driver's memory: ids are drawn first, so only the drawn texts travel, and texts over
+    ``most_bytes`` are not learnt from (they are scored like all others).  An id with several labels counts as often.
+    """
+    key = F.crc32(F.col(id_column).cast("string").cast("binary"))
+    drawn = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).where(learn_if(key)).select(id_column, F.col(label).cast("int").alias("label"))
+    drawn = drawn.orderBy(F.xxhash64(id_column, F.lit(7)), id_column, "label").limit(rows)
+    chosen = docs.select(id_column, column, *also).where((F.octet_length(column) <= most_bytes) & F.col(column).isNotNull())
+    got = chosen.join(F.broadcast(drawn), id_column).select(id_column, column, "label", *also).toArrow()
+    return got.sort_by([(id_column, "ascending"), (column, "ascending")])  # the same order on every run
+
+
+def best_cut(score: np.ndarray, label: np.ndarray) -> float:
+    """The middle of the range of thresholds with the highest accuracy."""
+    order = np.argsort(score)
+    s, y = score[order], label[order].astype(bool)
+    if not len(s) or y.all() or not y.any():
+        return float(np.median(s)) if len(s) else 0.0
+    missed = np.concatenate([[0], np.cumsum(y)])  # positives below the cut before row i
+    kept = np.concatenate([[0], np.cumsum(~y)])  # negatives below it
+    gain = kept - missed
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    ends = np.concatenate([[s[0] - 1.0], s, [s[-1] + 1.0]])
+    i = int(best[len(best) // 2])
+    return float((ends[i] + ends[i + 1]) / 2)
