@@ -196,6 +196,120 @@ def components(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
     return marked.join(named, "fp").select(id_column, "fp", "component_id")
 
 
+# --- near copies by similarity ----------------------------------------------------------------------------
+
+#: A long fingerprint: so many words of so many bits, each searched by balls of radius one around both sides (radius two).
+NEAR_WORDS, NEAR_BITS = 6, 40
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Ids that may be broadcast (8 bytes each, so 16 MB); beyond it the joins shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def near_words(text: bytes) -> list[int]:
+    """Majority bits over the distinct longer words (all words if none is long): NEAR_WORDS numbers of NEAR_BITS bits."""
+    every = set(text.lower().split())
+    distinct = [w for w in every if len(w) > 3] or list(every)
+    if not distinct:
+        return [0] * NEAR_WORDS
+    ones = np.zeros(256, np.int64)
+    for at in range(0, len(distinct), 1 << 14):
+        h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in distinct[at : at + (1 << 14)]], np.uint64)
+        wide = np.empty((len(h), 4), "<u8")
+        for k in range(4):
+            x = (h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            wide[:, k] = x ^ (x >> np.uint64(29))
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(h), 32), axis=1).sum(axis=0, dtype=np.int64)
+    bits = (ones * 2 > len(distinct))[: NEAR_WORDS * NEAR_BITS].reshape(NEAR_WORDS, NEAR_BITS)
+    return (bits @ (1 << np.arange(NEAR_BITS, dtype=np.int64))).tolist()
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles."""
+    return np.unique((shingle_hashes(text, size) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
+def _sketches(docs: DataFrame, id_column: str, column: str, size: int) -> DataFrame:
+    src = docs.select(id_column, column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
+            words = pa.array([near_words(x) for x in raw], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), words], names=[id_column, "node", "words"])
+
+    return src.mapInArrow(run, f"`{id_column}` {src.schema[0].dataType.simpleString()}, node long, words array<long>")
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, node, component_id): texts with at least this Jaccard similarity of their word shingles share a component.
+
+    A node is a distinct text.  Candidates: nodes that agree in one of the six fingerprint words up to two bits, met at a
+    variant within one bit of both.  All members of a variant's group are such, so each is compared only with the group's
+    centre: the node whose own word the variant is, or else the smallest.  Candidates are verified exactly.
+    """
+    bounded_batches(docs.sparkSession)
+    marked = stash(_sketches(docs, id_column, column, size))
+    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("words").alias("words")))
+    flips = F.array(*[F.lit(0).cast("long")] + [F.lit(1 << i).cast("long") for i in range(NEAR_BITS)])
+    by_word = nodes.select("node", F.posexplode("words").alias("table", "word"))
+    emitted = by_word.select("node", F.explode(F.transform(flips, lambda x: F.struct((F.col("word").bitwiseXOR(x) + F.col("table") * F.lit(1 << NEAR_BITS)).alias("key"), (x != 0).alias("moved")))).alias("e"))
+    w = Window.partitionBy("key").orderBy("moved", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stars = emitted.select("e.key", "e.moved", "node").withColumn("centre", F.first("node").over(w)).where("node <> centre")
+    pairs = cut(stars.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", F.col("first").alias(id_column)).where(F.col(id_column).isNotNull())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            mine = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
+            right = np.flatnonzero(mine == batch.column(0).to_numpy())  # a repeated id may carry another text
+            yield pa.RecordBatch.from_arrays([pa.array(mine[right]), pa.array([shingle_set(raw[i], size).tobytes() for i in right], pa.binary())], names=["node", "shingles"])
+
+    described = stash(docs.select(id_column, column).join(wanted, id_column).select("node", column).mapInArrow(sets, "node long, shingles binary")).dropDuplicates(["node"])
+    sized = described.select("node", (F.octet_length("shingles") / 4).alias("n"))
+    fit = pairs.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+    fit = fit.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v")
+    both = fit.join(described.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(described.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    roots = connected_components(both.select("u", "v", "su", "sv").mapInArrow(_similar(similarity), "u long, v long"))
+    linked = roots.join(nodes.select("node", "first"), "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    linked = linked.join(least, "root").select("node", "component_id")
+    named = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    return marked.select(id_column, "node").join(named, "node")
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document, the one with the smallest id, of each group of near duplicates.
+
+    Rows without id are kept; rows that repeat an id of the group's document count as that document, once.
+    """
+    found = stash(near_duplicates(docs, id_column, column, size, similarity))
+    losers = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    losers = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
+    kept = docs.join(losers, id_column, "left_anti")
+    repeated = found.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1")
+    if repeated.take(1):
+        kept = kept.where(F.col(id_column).isNull()).unionByName(kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]))
+    return kept
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
