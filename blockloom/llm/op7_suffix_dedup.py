@@ -2,7 +2,7 @@
 
 1. Texts are dealt into buckets of bounded size and written once, compressed, as a table bucketed for the joins below,
    so whole texts are shuffled once.
-2. Winnowing picks anchors: in every window of ``length`` bytes the 16-byte string with the smallest hash.  Equal
+2. Winnowing picks anchors: in every window of ``length`` bytes the 24-byte string with the smallest hash.  Equal
    windows pick equal anchors at equal places, so windows whose anchor occurs only once need no comparison.  Only 32
    bits per anchor travel to find the shared ones, and one bit per anchor travels back.
 3. The surroundings of shared anchors (the windows that picked them) are dealt into shards by the anchor, so equal
@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import bounded_batches, stash, table, utf8
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 BUCKET_BYTES = 8 << 20
 #: Text bytes whose anchors make one target, and whose shared surroundings make one shard.
-TARGET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
+TARGET_BYTES, SHARD_BYTES = 32 << 20, 4 << 20
 #: Bytes that get one suffix array.
-PART_BYTES = 3 << 20
+PART_BYTES = 4 << 20
 #: Documents are winnowed in groups of about so many bytes.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 _LATE = np.iinfo(np.int64).max
 
 
@@ -63,26 +63,25 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     key = words8(data)
-    # A suffix shorter than 8 bytes sorts before one that goes on with zero bytes.
-    sa = np.argsort(key, kind="stable").astype(np.int64)
+    sa = np.argsort(key).astype(np.int32)
     sorted_key = key[sa]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = head
+    place = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, place, 0))
+    del key, sorted_key
     h = 8
-    loose = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))  # places in groups of two or more
+    loose = place[~(new & np.concatenate([new[1:], [True]]))]  # places in groups of two or more
     while h < depth and len(loose):
         sub = sa[loose]
         ahead = sub + h
-        further = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        mixed = rank[sub] * (n + 1) + further
-        order = np.argsort(mixed, kind="stable")
+        mixed = rank[sub].astype(np.int64) * (n + 1)
+        mixed += np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(mixed)
         sub, mixed = sub[order], mixed[order]
         sa[loose] = sub
         new = np.concatenate([[True], mixed[1:] != mixed[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(loose)), 0))
-        rank[sub] = loose[start]
+        rank[sub] = loose[np.maximum.accumulate(np.where(new, np.arange(len(loose)), 0))]
         loose = loose[~(new & np.concatenate([new[1:], [True]]))]
         h *= 2
     return sa
@@ -97,9 +96,9 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lanes: int = 1
     n = len(data)
     if n < 2:
         return np.zeros(n, np.int64)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[0]], before[sa[1:]] = -1, sa[:-1]
-    key, plcp = words8(data), np.zeros(n, np.int64)
+    key, plcp = words8(data), np.zeros(n, np.int32)
     lanes = min(lanes, n)
     per = -(-n // lanes)
     base = np.arange(0, n, per)
@@ -130,19 +129,19 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int, lanes: int = 1
     return plcp[sa]
 
 
-def window_classes(data: np.ndarray, valid: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_classes(data: np.ndarray, valid: np.ndarray, owner: np.ndarray, length: int, with_strings: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the windows that start where ``valid``: (class of each, sorted distinct windows, smallest owner of each class)."""
     sa = suffix_array(data, length)
     lcp = common_prefixes(data, sa, length)
-    group = np.cumsum(lcp < length) - 1
+    group = np.cumsum(lcp < length, dtype=np.int32) - 1
     ok = valid[sa]
     at, group = sa[ok], group[ok]
     new = np.concatenate([[True], group[1:] != group[:-1]])
     heads = np.flatnonzero(new)
     number = np.cumsum(new) - 1
     least = np.minimum.reduceat(owner[at], heads)
-    strings = data[at[heads][:, None] + np.arange(length)].view(f"S{length}").ravel()
-    of = np.empty(len(data), np.int64)
+    strings = data[at[heads][:, None] + np.arange(length)].view(f"S{length}").ravel() if with_strings else np.zeros(0, f"S{length}")
+    of = np.empty(len(data), np.int32)
     of[at] = number
     return of[valid], strings, least
 
@@ -184,7 +183,7 @@ def smallest_owners(contexts: list[bytes], owners: np.ndarray, length: int, part
         data = np.frombuffer(b"".join(contexts[a:b]), np.uint8)
         ends = np.repeat(np.cumsum(lengths), lengths)
         valid = np.arange(len(data)) + length <= ends
-        parts.append(window_classes(data, valid, np.repeat(owners[a:b], lengths), length))
+        parts.append(window_classes(data, valid, np.repeat(owners[a:b], lengths), length, len(bounds) > 1))
     return np.concatenate(merge_classes(parts))
 
 
@@ -221,7 +220,12 @@ def _winnow(data: np.ndarray, offsets: np.ndarray, base: int, length: int) -> tu
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     w = words8(data)
-    h = _mix(_mix(w[: n - GRAM + 1]) ^ w[8 : n - GRAM + 9])
+    m = n - GRAM + 1
+    h = w[:m] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= w[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(31)
+    h += w[16 : 16 + m] * np.uint64(0x165667B19E3779F9)
+    h = _mix(h)
     low = np.uint64((1 << 24) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     m, width = key, 1
@@ -413,8 +417,10 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
         for row in _rows(batches):
             data, offsets, ids = _unpack(row)
             edge = np.zeros(len(data) + 1, np.int32)
-            for m in row["masks"] or ():
-                starts, bits = np.frombuffer(get(m["starts"]), "<u4").astype(np.int64), np.frombuffer(get(m["masks"]), np.uint64)
+            got = row["masks"] or ()
+            if got:
+                starts = np.concatenate([np.frombuffer(get(m["starts"]), "<u4") for m in got]).astype(np.int64)
+                bits = np.concatenate([np.frombuffer(get(m["masks"]), np.uint64) for m in got])
                 for k in range(length - GRAM + 1):
                     s = starts[(bits >> np.uint64(k)) & np.uint64(1) == 1] + k
                     np.add.at(edge, s, 1)
