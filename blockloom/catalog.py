@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from blockloom.plans import relational
+
+MODULES: tuple = (relational,)
 
 
 def queries() -> dict:
