@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from blockloom.plans import relational
+from blockloom.plans import relational, storage
 
-MODULES: tuple = (relational,)
+MODULES: tuple = (relational, storage)
 
 
 def queries() -> dict:
