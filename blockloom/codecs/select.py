@@ -58,8 +58,8 @@ def select(data: bytes, context: Context, override: str | None = None, verify: b
         tried += 1
         try:
             made = c.compress(data, context)
-            if best is not None and (len(made.payload) >= len(data) or len(made.payload) >= len(best.payload)):
-                continue
+            if best is not None and len(made.payload) >= len(best.payload):
+                continue  # no gain; a block that nothing shrinks ends up raw
             if verify and c.decompress(made.payload, len(data), made.metadata) != data:
                 continue
         except Exception:  # noqa: BLE001  a codec that cannot take a block is passed over, whatever it raises
