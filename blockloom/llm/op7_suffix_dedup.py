@@ -75,8 +75,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(loose):
         sub = sa[loose]
         ahead = sub + h
-        mixed = rank[sub].astype(np.int64) * (n + 1)
-        mixed += np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        mixed = rank[sub].astype(np.int64) * (n + depth)
+        # Of suffixes that end within h bytes and tie with zero bytes, the shorter comes first.
+        mixed += np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + depth, np.maximum(0, n + depth - 1 - ahead))
         order = np.argsort(mixed)
         sub, mixed = sub[order], mixed[order]
         sa[loose] = sub
@@ -358,7 +359,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
             doc = np.searchsorted(offsets, first[order], side="right") - 1
             owner, start, size = ids[doc], first[order], (last[order] - first[order] + length).astype(np.uint8)
             heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-            ends = np.concatenate([heads[1:], [len(shard)]])
+            ends = np.concatenate([heads[1:], [len(shard)]])[: len(heads)]
             raw = data.tobytes()
             out = []
             for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
