@@ -10,6 +10,7 @@ import time
 from pyspark.sql import functions as F
 
 from blockloom import codecs
+from blockloom.operators import artifacts
 from blockloom.operators import blocks as B
 from blockloom.operators import classify as C
 from blockloom.session import local_session
@@ -30,10 +31,13 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--codec", default="auto", choices=["auto", *codecs.registered()])
         c.add_argument("--no-dedup", action="store_true")
         c.add_argument("--delta-base")
+        c.add_argument("--tensor-aware", action="store_true")
+        c.add_argument("--gguf-aware", action="store_true")
     c = sub.add_parser("unpack")
     c.add_argument("archive")
     c.add_argument("out")
     c.add_argument("--only", action="append")
+    c.add_argument("--tensor", help="file:name of one tensor to extract")
     c.add_argument("--base")
     c = sub.add_parser("verify")
     c.add_argument("archive")
@@ -44,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--tensors", action="store_true")
     c = sub.add_parser("list")
     c.add_argument("archive")
+    c.add_argument("--tensors", action="store_true")
     c = sub.add_parser("bench", help="size and time per codec over a folder")
     c.add_argument("source")
     c.add_argument("-b", "--block-size", type=int, default=B.DEFAULT_BLOCK)
@@ -65,26 +70,26 @@ def run(argv: list[str] | None = None, spark=None) -> int:
     code = 0
     if args.command.startswith("pack"):
         files = B.directory_files(spark, args.source)
-        kind = "unknown"
-        if args.command == "pack-lora":
-            t = safetensors.tensors(files.where(F.lower("path").endswith(".safetensors")))
-            if not files.where(C.base_name(F.col("path")) == "adapter_model.safetensors").take(1) and not t.where(F.col("name").rlike(C.LORA)).take(1):
-                print("not a LoRA adapter", file=sys.stderr)
-                return 1
-            kind = "lora_adapter"
-        if args.command == "pack-checkpoint":
-            if not files.where(C.base_name(F.col("path")).isin(*C.CHECKPOINT_FILES)).take(1):
-                print("not a training checkpoint", file=sys.stderr)
-                return 1
-            kind = "training_checkpoint"
-        out = A.pack(files, args.archive, args.block_size, args.codec, args.level, dedup=not args.no_dedup, base=args.delta_base, artifact_type=kind)
+        kind = "detect"
+        if args.command == "pack-lora" and not artifacts.lora_adapters(files).where("is_lora").take(1):
+            print("not a LoRA adapter", file=sys.stderr)
+            return 1
+        if args.command == "pack-checkpoint" and not artifacts.checkpoints(files).where("is_checkpoint").take(1):
+            print("not a training checkpoint", file=sys.stderr)
+            return 1
+        out = A.pack(files, args.archive, args.block_size, args.codec, args.level, dedup=not args.no_dedup, base=args.delta_base, artifact_type=kind, tensor_aware=args.tensor_aware or args.command == "pack-lora", gguf_aware=args.gguf_aware)
     elif args.command == "unpack":
-        out = {"files": A.Archive(spark, args.archive, args.base).unpack(args.out, args.only)}
+        a = A.Archive(spark, args.archive, args.base)
+        if args.tensor and not args.only:
+            out = {"tensor": a.extract_tensor(*args.tensor.split(":", 1), args.out)}
+        else:
+            out = {"files": a.unpack(args.out, args.only)}
     elif args.command == "verify":
         out = A.Archive(spark, args.archive, args.base).verify(full=not args.quick)
         code = int(out["integrity"] != "OK")
     elif args.command == "list":
-        out = A.Archive(spark, args.archive).list_files()
+        a = A.Archive(spark, args.archive)
+        out = a.list_tensors() if args.tensors else a.list_files()
     elif args.command == "inspect":
         if _is_archive(spark, args.path):
             out = A.Archive(spark, args.path).manifest()

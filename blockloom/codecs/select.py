@@ -77,3 +77,16 @@ def decode(payload: bytes, name: str, original_size: int, metadata: dict | None
     if len(got) != original_size:
         raise ValueError(f"decoded {len(got)} bytes, expected {original_size}")
     return got
+
+
+def compress_block(data: bytes, level: int = 3) -> Encoded:
+    """zstd, or raw where that does not help: the plain pair of functions for one block."""
+    made = Zstd().compress(data, Context(level=level))
+    return made if len(made.payload) < len(data) else Encoded(bytes(data), "raw")
+
+
+def decompress_block(payload: bytes, name: str, original_size: int) -> bytes:
+    """The counterpart; only codecs that need no metadata."""
+    if name not in ("zstd", "zlib", "raw"):
+        raise ValueError(f"{name!r} needs its metadata")
+    return decode(payload, name, original_size)

@@ -60,3 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def resolve_jobs(jobs: int | str, spark: SparkSession) -> int:
+    """A number of tasks: ``auto`` is the cluster's parallelism, nonsense is 1, and at least 1."""
+    if jobs == "auto":
+        return max(1, spark.sparkContext.defaultParallelism)
+    try:
+        return max(1, int(jobs))
+    except ValueError:
+        return 1

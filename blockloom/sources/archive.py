@@ -26,9 +26,12 @@ from pyspark.sql.types import StructType
 
 from blockloom import codecs
 from blockloom.functions.block_codecs import with_decoding, with_encoding
+from blockloom.operators import artifacts
 from blockloom.operators import blocks as B
+from blockloom.operators import tensors as T
 from blockloom.operators.classify import is_safe_path
 from blockloom.session import cut
+from blockloom.sources import safetensors
 
 VERSION = 7
 MAGIC = b"BLKARC\x01\x00"
@@ -36,6 +39,10 @@ MOST_MANIFEST = 100 << 20
 TOOL = "blockloom"
 
 
+# numpy's name of each tensor dtype.
+NUMPY_TYPES = {"BOOL": "?", "U8": "u1", "I8": "i1", "I16": "<i2", "I32": "<i4", "I64": "<i8", "F16": "<f2", "F32": "<f4", "F64": "<f8"}
+
+
 class ArchiveError(ValueError):
     pass
 
@@ -43,10 +50,11 @@ class ArchiveError(ValueError):
 # --- packing ---
 
 
-def encoded_blocks(files: DataFrame, block_size: int, codec: str = "auto", level: int | None = None, dtype: str | None = None, dedup: bool = True, base: DataFrame | None = None) -> DataFrame:
+def encoded_blocks(files: DataFrame, block_size: int, codec: str = "auto", level: int | None = None, dedup: bool = True, base: DataFrame | None = None, tensor_aware: bool = False) -> DataFrame:
     """Blocks of files (file_id, path, size, content) as they are stored.
 
-    Only hashes are shuffled to find duplicates; blocks that need no payload are not encoded.
+    Only hashes are shuffled to find duplicates; blocks that need no payload are not encoded.  With tensor_aware a
+    block of a safetensors file is encoded by the dtype of the tensor that holds its first byte.
     """
     blocks = B.split_blocks(files, block_size).withColumn("content_sha256", F.sha2("data", 256))
     plain = blocks.drop("data")
@@ -59,11 +67,22 @@ def encoded_blocks(files: DataFrame, block_size: int, codec: str = "auto", level
         where = where.withColumn("base_ref", F.lit(None).cast("long"))
     placed = blocks.join(where, ["file_id", "block_index"])
     stored = (F.col("dedup_ref") < 0) & F.col("base_ref").isNull()
-    return with_encoding(placed.withColumn("data", F.when(stored, F.col("data"))), codec, level, dtype)
+    if tensor_aware:
+        t = safetensors.tensors(files.where(F.lower("path").endswith(".safetensors"))).join(files.select("file_id", "path"), "path")
+        owners = T.attribute(placed.select("file_id", "file_offset"), t.withColumn("byte_offset", F.col("byte_offset") + F.col("header_size")), block_size).select("file_id", "file_offset", "tensor_name")
+        placed = placed.join(owners, ["file_id", "file_offset"], "left").join(t.select("file_id", F.col("name").alias("tensor_name"), F.col("dtype").alias("tensor_dtype"), F.col("shape").alias("tensor_shape")), ["file_id", "tensor_name"], "left")
+    else:
+        placed = placed.select("*", F.lit(None).cast("string").alias("tensor_name"), F.lit(None).cast("string").alias("tensor_dtype"), F.lit(None).cast("array<bigint>").alias("tensor_shape"))
+    return with_encoding(placed.withColumn("data", F.when(stored, F.col("data"))), codec, level, "tensor_dtype")
+
 
+def quantised_codec(codec: str) -> str:
+    """Float and byte planes do not suit quantised GGUF data: such a request becomes zstd."""
+    return "zstd" if codec in ("auto", "floatplane", "byteplane") else codec
 
-def pack(files: DataFrame, path: str, block_size: int = B.DEFAULT_BLOCK, codec: str = "auto", level: int | None = None, dtype: str | None = None, dedup: bool = True, base: str | None = None, artifact_type: str = "unknown", jobs: int = 1) -> dict:
-    """Write the folder form and return its manifest."""
+
+def pack(files: DataFrame, path: str, block_size: int = B.DEFAULT_BLOCK, codec: str = "auto", level: int | None = None, dedup: bool = True, base: str | None = None, artifact_type: str = "unknown", artifact_metadata: dict | None = None, tensor_aware: bool = False, gguf_aware: bool = False, jobs: int = 1) -> dict:
+    """Write the folder form and return its manifest.  ``artifact_type="detect"`` finds out what the files are."""
     spark = files.sparkSession
     if "file_id" not in files.columns:
         files = files.withColumn("file_id", F.xxhash64("path"))
@@ -72,18 +91,23 @@ def pack(files: DataFrame, path: str, block_size: int = B.DEFAULT_BLOCK, codec:
     if files.groupBy("path").count().where("count > 1").take(1):
         raise ArchiveError("a path occurs more than once")
     base_blocks = spark.read.parquet(f"{path_of(base)}/blocks") if base else None
-    out = encoded_blocks(files, block_size, codec, level, dtype, dedup, base_blocks).drop("size")
-    keep = ["global_id", "file_id", "path", "block_index", "file_offset", "block_size", "content_sha256", "codec", "codec_metadata", "compressed_size", "payload_sha256", "dedup_ref", "base_ref", "payload"]
+    if artifact_type == "detect":
+        found = artifacts.artifact(files)
+        artifact_type, artifact_metadata = found["artifact_type"], found["artifact_metadata"]
+    if gguf_aware and artifacts.quantised_files(files).take(1):
+        codec = quantised_codec(codec)
+    out = encoded_blocks(files, block_size, codec, level, dedup, base_blocks, tensor_aware).drop("size")
+    keep = ["global_id", "file_id", "path", "block_index", "file_offset", "block_size", "content_sha256", "codec", "codec_metadata", "compressed_size", "payload_sha256", "dedup_ref", "base_ref", "tensor_name", "tensor_dtype", "tensor_shape", "payload"]
     out.select(*keep).repartitionByRange("path", "block_index").sortWithinPartitions("path", "block_index").write.mode("errorifexists").parquet(f"{path}/blocks")
     files.select("file_id", "path", "size", F.sha2("content", 256).alias("sha256"), F.lit(block_size).alias("block_size")).write.parquet(f"{path}/files")
     b, f = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/files")
     n = b.agg(F.count("*"), F.count_if(F.col("dedup_ref") >= 0), F.coalesce(F.sum("compressed_size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("dedup_ref") >= 0, F.col("block_size"))), F.lit(0)), F.count("base_ref")).first()
     m = f.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     manifest = {
-        "version": VERSION, "tool": TOOL, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "artifact_type": artifact_type, "total_files": m[0], "total_blocks": n[0],
+        "version": VERSION, "tool": TOOL, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "artifact_type": artifact_type, "artifact_metadata": artifact_metadata or {}, "total_files": m[0], "total_blocks": n[0],
         "total_original_size": m[1], "total_compressed_size": n[2], "deduplication": {"enabled": dedup, "duplicate_blocks": n[1], "saved_bytes": n[3]},
-        "delta": {"enabled": base is not None, "base": base, "referenced_blocks": n[4]}, "parallelism": {"jobs": jobs} if jobs > 1 else {}, "index": {"version": 1, "has_block_offsets": True, "has_file_index": True},
-        "runtime_hints": {"partial_file_access": True, "compressed_inference": False},
+        "delta": {"enabled": base is not None, "base": base, "referenced_blocks": n[4]}, "parallelism": {"jobs": jobs} if jobs > 1 else {}, "index": {"version": 1, "has_block_offsets": True, "has_file_index": True, "has_tensor_index": tensor_aware},
+        "runtime_hints": {"partial_file_access": True, "tensor_access": "limited" if tensor_aware else "none", "compressed_inference": False},
     }
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.parquet(f"{path}/manifest")
     return manifest
@@ -169,6 +193,32 @@ class Archive:
         a, b = entry["data_offsets"]
         return self.read_file_range(path, 8 + n + a, b - a)
 
+    def list_tensors(self) -> list[str]:
+        """Tensors that blocks are attributed to (of archives packed with tensor_aware)."""
+        return [r["tensor_name"] for r in self.blocks.where("tensor_name is not null").select("tensor_name").distinct().orderBy("tensor_name").toLocalIterator()]
+
+    def get_tensor_info(self, name: str) -> dict | None:
+        row = self.blocks.where(F.col("tensor_name") == name).groupBy("path", "tensor_dtype", "tensor_shape").agg(F.array_sort(F.collect_list("global_id")).alias("block_ids")).first()
+        return row.asDict() if row else None
+
+    def load_tensor(self, path: str, name: str):
+        """A tensor as a numpy array in its shape; BF16, which numpy lacks, is refused."""
+        import numpy as np
+
+        n = int.from_bytes(self.read_file_range(path, 0, 8), "little")
+        entry = json.loads(self.read_file_range(path, 8, n))[name]
+        if entry["dtype"] not in NUMPY_TYPES:
+            raise ArchiveError(f"numpy has no {entry['dtype']}")
+        return np.frombuffer(self.read_tensor(path, name), NUMPY_TYPES[entry["dtype"]]).reshape(entry["shape"])
+
+    def extract_tensor(self, path: str, name: str, out_dir: str) -> str:
+        """Write a tensor's bytes to <safe name>.bin below out_dir."""
+        target = os.path.join(out_dir, name.translate(str.maketrans("/\\:", "___")) + ".bin")
+        os.makedirs(out_dir, exist_ok=True)
+        with open(target, "wb") as o:
+            o.write(self.read_tensor(path, name))
+        return target
+
     def unpack(self, out_dir: str, patterns: list[str] | None = None) -> int:
         """Write the files below out_dir (a folder that all executors share); all paths are checked first."""
         from blockloom.operators.classify import first_match
@@ -224,6 +274,15 @@ class Archive:
         return {"integrity": "FAILED" if found else "OK", "errors": {r["error"]: {"count": r["n"], "example": r["example"]} for r in found}, "total_files": m["total_files"], "total_blocks": m["total_blocks"], "restored_size": m["total_original_size"], "compressed_size": m["total_compressed_size"]}
 
 
+def report(found: dict) -> str:
+    """The outcome of verify() as text."""
+    lines = [f"Files: {found['total_files']}", f"Blocks: {found['total_blocks']}", f"Restored size: {found['restored_size']} bytes", f"Compressed size: {found['compressed_size']} bytes"]
+    if found["restored_size"]:
+        lines.append(f"Ratio: {found['compressed_size'] / found['restored_size']:.2%}")
+    lines.append(f"Integrity: {found['integrity']}")
+    return "\n".join(lines + [f"  {e}: {x['count']}, such as {x['example']}" for e, x in found["errors"].items()])
+
+
 # --- the single-file form ---
 
 
