@@ -1,7 +1,7 @@
 """Toxicity by a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words are hashed into buckets; a bucket seen in too few training documents has the zero embedding, so rare words neither
-overfit nor fire.  Filters of widths 1, 2 and 3 run over the whole text, their maxima over time go through one
+Words are hashed into buckets.  A word seen in too few training documents shares the embedding of its first letters,
+and has the zero embedding where these are rare too, so rare words neither overfit nor fire.  Filters of widths 1, 2 and 3 run over the whole text, their maxima over time go through one
 logistic layer.  Scores are calibrated so that the best single cut lies at ``AT``; besides, each language
 gets a cut of its own where enough labelled rows of it were held back (languages choose the cut, never the score).
 
@@ -28,6 +28,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 16
 DIMENSIONS = 16
 BUCKETS = 1 << 18
+#: A rare word is known by its first letters, so many of them.
+BEGINNINGS = (6, 5, 4)
 MIN_DOCUMENTS = 4
 #: A bucket needs so many training documents, and this share of them.
 MIN_SHARE = 0.004
@@ -49,15 +51,24 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def keys(word: str) -> list[int]:
+    """The buckets that may stand for a word, the most specific first: itself, then its beginnings."""
+    return [bucket(word), *(bucket(f"{word[:n]}-") for n in BEGINNINGS if len(word) > n)]
+
+
 class Buckets(dict):
-    """Word -> row of the embedding table; 0 for all that was rare in training."""
+    """Word -> row of the embedding table: the word's own, or else that of its longest known beginning, or else 0."""
 
-    def __init__(self, rows: dict[int, int], buckets: int, most: int = 500_000):
+    def __init__(self, rows: dict[int, int], most: int = 400_000):
         super().__init__()
-        self.rows, self.buckets, self.most = rows, buckets, most
+        self.rows, self.most = rows, most
 
     def __missing__(self, word: str) -> int:
-        row = self.rows.get(zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets, 0)
+        row = next((self.rows[k] for k in keys(word) if k in self.rows), 0)
         if len(self) < self.most:
             self[word] = row
         return row
@@ -79,15 +90,19 @@ class TextCnn:
         """Every embedding through every filter, so that scoring a text is looking up and adding."""
         return {w: np.einsum("rd,wdf->wrf", self.p["e"], self.p[f"w{w}"]).astype(np.float32) for w in self.widths}
 
-    def pooled(self, tables: dict[int, np.ndarray], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Maxima over time per document of a padded concatenation, before the bias."""
+    def pooled(self, tables: dict[int, np.ndarray], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Maxima over time per document of a padded concatenation, before the bias.
+
+        Only windows that start in a document count: those that start in its padding may reach into the next one.
+        """
+        bounds = np.stack([starts, starts + lengths], axis=1).ravel()
         out = []
         for w in self.widths:
             n = len(ids) - w + 1
             a = tables[w][0].take(ids[:n], axis=0)
             for o in range(1, w):
                 a += tables[w][o].take(ids[o : o + n], axis=0)
-            out.append(np.maximum.reduceat(a, starts, axis=0))
+            out.append(np.maximum.reduceat(a, bounds, axis=0)[::2])
         return np.concatenate(out, axis=1)
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -152,7 +167,7 @@ class Model:
         self.rows, self.net, self.scale, self.shift, self.cuts = rows, net, scale, shift, cuts
 
     def scorer(self):
-        table_, tables = Buckets(self.rows, BUCKETS), self.net.projected()
+        table_, tables = Buckets(self.rows), self.net.projected()
         pad = max(self.net.widths) - 1
 
         def score(texts: list[str]) -> np.ndarray:
@@ -162,8 +177,7 @@ class Model:
 
             def flush() -> None:
                 if group:
-                    ids, starts, _ = concatenated(group, pad)
-                    best = self.net.pooled(tables, ids, starts)
+                    best = self.net.pooled(tables, *concatenated(group, pad))
                     np.maximum.at(pooled, np.array(members), best)
                     group.clear()
                     members.clear()
@@ -195,17 +209,27 @@ def fit(sample: pa.Table, column: str = "text", language: str = "lang", seed: in
     y = sample.column("label").to_numpy().astype(np.float32)
     if len(y) < 4 or y.min() == y.max():
         return None
-    split = [words(x) for x in sample.column(column).to_pylist()]
-    seen: dict[int, int] = {}
-    hashed = []
-    for ws in split:
-        h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in ws]
-        hashed.append(h)
-        for b in set(h):
-            seen[b] = seen.get(b, 0) + 1
+    # Documents pass one at a time: all words at once as Python objects would be the driver's largest memory.
     least = max(MIN_DOCUMENTS, len(y) * MIN_SHARE)
-    rows = {b: i for i, b in enumerate(sorted(b for b, n in seen.items() if n >= least), 1)}
-    docs = [np.array([rows.get(b, 0) for b in h], np.int32) for h in hashed]
+    levels = 1 + len(BEGINNINGS)
+    mine = []
+    for x in sample.column(column):
+        k = [keys(w) for w in set(words(x.as_py()))]
+        mine.append(np.array([v[:1] + [-1] * (levels - len(v)) + v[1:] for v in k], np.int32).reshape(-1, levels))
+    known = np.zeros(BUCKETS + 1, bool)  # the last place stands for no such beginning
+    rows: dict[int, int] = {}
+    for level in range(levels):  # a beginning counts only where nothing more specific is known
+        seen = np.zeros(BUCKETS, np.int32)
+        for k in mine:
+            free = k[~known[k[:, :level]].any(axis=1), level] if level else k[:, 0]
+            seen[np.unique(free[free >= 0])] += 1
+        frequent = np.flatnonzero(seen >= least)
+        for b in frequent.tolist():
+            rows.setdefault(b, len(rows) + 1)
+        known[frequent] = True
+    del mine
+    table_ = Buckets(rows)
+    docs = [np.fromiter(map(table_.__getitem__, words(x.as_py())), np.int32) for x in sample.column(column)]
     r = np.random.default_rng(seed)
     order = r.permutation(len(y))
     back = order[: max(1, len(y) // 5)]
@@ -219,7 +243,7 @@ def fit(sample: pa.Table, column: str = "text", language: str = "lang", seed: in
 
     def held() -> np.ndarray:
         tables = net.projected()
-        return np.concatenate([net.logits(net.pooled(tables, *concatenated([docs[i] for i in back[a : a + 64]], pad)[:2])) for a in range(0, len(back), 64)])
+        return np.concatenate([net.logits(net.pooled(tables, *concatenated([docs[i] for i in back[a : a + 64]], pad))) for a in range(0, len(back), 64)])
 
     for k in range(steps):
         pick = r.choice(learn, min(32, len(learn)), replace=False)

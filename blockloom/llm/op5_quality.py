@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import best_cut, bounded_batches, labelled_sample, table
+from blockloom.llm.common import best_cut, bounded_batches, labelled_sample, table, utf8
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE = 8, 4
@@ -146,7 +146,7 @@ def fit(sample: pa.Table, column: str = "text", seed: int = 0) -> Model | None:
     y = sample.column("label").to_numpy().astype(np.float32)
     if len(y) < 4 or y.min() == y.max():
         return None
-    data, offsets = flat(sample.column(column).to_pylist())
+    data, offsets = utf8(pa.concat_arrays(sample.column(column).chunks))
     r = np.random.default_rng(seed)
     order = r.permutation(len(y))
     back = order[: max(1, len(y) // 5)]
