@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.session import ship
+from blockloom.session import cut, shared_dir, ship
 
 #: Bytes of one Arrow batch sent to a Python worker; long texts would otherwise make 10,000-row batches unbounded.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,23 +31,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="blockloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage of a wide result by writing it as Parquet into the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
@@ -54,6 +38,29 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(results: Iterator) -> Iterator:
+    """Pass results on; afterwards hand memory that the C library holds back to the system.
+
+    Python workers live on for later tasks and stages, and their arrays come and go at sizes that the C library keeps.
+    """
+    try:
+        yield from results
+    finally:
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def tidied(f):
+    """Wrap a function over batches so that its worker tidies up after each partition."""
+
+    def run(batches: Iterator) -> Iterator:
+        return tidy(f(batches))
+
+    return run
+
+
 def texts(batch: pa.RecordBatch | pa.Array, name: str = "text") -> list[str]:
     """Texts of a batch as str, null as empty."""
     column = batch if isinstance(batch, pa.Array) else batch.column(batch.schema.get_field_index(name))

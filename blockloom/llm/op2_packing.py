@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import tokens
-from blockloom.llm.common import bounded_batches, table
+from blockloom.llm.common import bounded_batches, table, tidied
 
 MODEL = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", ca
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(made[:, 0], pa.int32())] + [pa.array(made[:, j]) for j in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, extra[0].type)] if keep_ids else []), names=[id_column, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return src.mapInArrow(cut, ddl)
+    return src.mapInArrow(tidied(cut), ddl)
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -126,7 +126,7 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: i
         rows = rows.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
         yield from rows.to_batches(max_chunksize=10_000)
 
-    return items.repartition(groups).mapInArrow(place, ddl)
+    return items.repartition(groups).mapInArrow(tidied(place), ddl)
 
 
 def pack_documents(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, stash, table, utf8
+from blockloom.llm.common import bounded_batches, stash, table, tidied, utf8
 
 LENGTH = 50
 GRAM = 24
@@ -336,7 +336,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
         bits = [np.packbits(x).tobytes() for x in np.split(flag, cuts)]
         return pa.table({"bucket": t.column("bucket"), "target": t.column("target"), "bits": pa.array(bits, pa.binary())})
 
-    sent = texts.select("bucket", "ids", "offsets", "data").mapInArrow(send, "bucket int, target int, hashes binary")
+    sent = texts.select("bucket", "ids", "offsets", "data").mapInArrow(tidied(send), "bucket int, target int, hashes binary")
     flags = sent.groupBy("target").applyInArrow(shared, "bucket int, target int, bits binary")
     flags = flags.groupBy("bucket").agg(F.collect_list(F.struct("target", "bits")).alias("flags"))  # one bit per anchor of the bucket
 
@@ -367,7 +367,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
                 out.append((row["bucket"], int(shard[a]), put(start[a:b].astype("<u4").tobytes()), put(owner[a:b].astype("<i8").tobytes()), size[a:b].tobytes(), put(body)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "starts", "owners", "sizes", "body"])
 
-    around = texts.select("bucket", "ids", "offsets", "data").join(flags, "bucket").mapInArrow(surround, "bucket int, shard int, starts binary, owners binary, sizes binary, body binary")
+    around = texts.select("bucket", "ids", "offsets", "data").join(flags, "bucket").mapInArrow(tidied(surround), "bucket int, shard int, starts binary, owners binary, sizes binary, body binary")
 
     def compare(t: pa.Table) -> pa.Table:
         get = zstandard.ZstdDecompressor().decompress
@@ -446,7 +446,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
             yield from pa.table({name: columns[name] for name in order}).to_batches(max_chunksize=2000)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return stash(texts.join(masks, "bucket", "left").mapInArrow(finish, ddl))
+    return stash(texts.join(masks, "bucket", "left").mapInArrow(tidied(finish), ddl))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, table
+from blockloom.llm.common import bounded_batches, table, tidied
 
 WIDTH = 192
 ROWS_PER_STRIP = 256
@@ -355,7 +355,7 @@ def tiff_pages(media: DataFrame, column: str = "media", id_column: str = "id") -
                 ids = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [ids] + [pa.array([], t) for t in types], names=[id_column, *names])
 
-    return src.mapInArrow(walk, ddl)
+    return src.mapInArrow(tidied(walk), ddl)
 
 
 def payload(text: str) -> tuple[bytes, int]:
@@ -399,7 +399,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[id_column, *names])
 
-    return src.mapInArrow(run, f"`{id_column}` {src.schema[0].dataType.simpleString()}, {DIGESTS}")
+    return src.mapInArrow(tidied(run), f"`{id_column}` {src.schema[0].dataType.simpleString()}, {DIGESTS}")
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
