@@ -23,7 +23,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, table
+from blockloom.llm.common import bounded_batches, table, tidied
 
 MODEL = "piece_bpe_32k.model"
 K = 3
 SHARPNESS = 1.0
-SLICE_CHARS = 6 << 20
+SLICE_CHARS = 8 << 20
 _CHUNK = re.compile(rb"\n| *[^ \n]+| +")
 _SPACE = "▁"
 
@@ -131,12 +133,12 @@ class Lattice:
         lengths = np.array([len(c) for c in chunks], np.int64)
         self.starts = np.cumsum(lengths) - lengths
         self.ends = self.starts + lengths
-        limit = np.repeat(self.ends, lengths)
+        limit = np.repeat(self.ends, lengths).astype(np.int32)
         begin, stop, piece = [], [], []
-        live, state = np.arange(n), np.zeros(n, np.int32)
+        live, state = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
         char = (data & 0xC0) != 0x80
         live, state = live[char], state[char]
-        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))).astype(np.int8)
         whole = np.zeros(n, bool)  # characters that are a piece
         for depth in range(v.longest):
             ok = live + depth < limit[live]
@@ -163,10 +165,10 @@ class Lattice:
         self.count = np.zeros(n + 1, np.int32)
         for x in begin:
             self.count[x] += 1
-        self.first = np.cumsum(self.count, dtype=np.int64) - self.count
+        self.first = np.cumsum(self.count, dtype=np.int32) - self.count
         filled = self.first.copy()
         total = int(self.count.sum())
-        self.begin, self.stop, self.piece = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32)
+        self.begin, self.stop, self.piece = (np.empty(total, np.int32) for _ in range(3))
         for x, y, z in zip(begin, stop, piece, strict=True):
             at = filled[x]
             self.begin[at], self.stop[at], self.piece[at] = x, y, z
@@ -227,6 +229,19 @@ def uniform(key: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _uniform_one(key: int, stream: int, place: int) -> float:
+    """The same for one place, on Python's integers."""
+    mask = 2**64 - 1
+
+    def mix(x: int) -> int:
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    x = (mix((key + stream * 0xD1342543DE82EF95) & mask) + place * 0x9E3779B97F4A7C15) & mask
+    return ((mix(x) >> 11) + 0.5) * 2.0**-53
+
+
 def row_key(value) -> int:
     return zlib.crc32(str(value).encode()) * 0x9E3779B97F4A7C15 & (2**64 - 1) if value is not None else 0
 
@@ -258,11 +273,12 @@ def _paths(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, pla
 
 def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per text up to k distinct segmentations: (piece ids, log probability, log inclusion), from the best perturbed value on."""
-    number: dict[bytes, int] = {}
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
     docs = []
     for text in texts:
         raw = (" " + text.replace(_SPACE, " ")).encode("utf-8", "replace") if text else b""
-        docs.append(np.array([number.setdefault(c, len(number)) for c in _CHUNK.findall(raw)], np.int64))
+        found_chunks = _CHUNK.findall(raw)
+        docs.append(np.fromiter(map(number.__getitem__, found_chunks), np.int64, len(found_chunks)))
     if not number:
         return [[(np.zeros(0, np.int64), 0.0, 0.0)] for _ in texts]
     lat = Lattice(v, list(number))
@@ -293,9 +309,9 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list
             places.append(w)
         text_of = np.array([t[0] for t in todo], np.int64)
         many = np.array(sizes, np.int64)
-        count, arcs = _paths(lat, np.concatenate(nodes), np.concatenate(ends), np.repeat(key[text_of], many), np.concatenate(places), 16 + round_)
+        counts, arcs = _paths(lat, np.concatenate(nodes), np.concatenate(ends), np.repeat(key[text_of], many), np.concatenate(places), 16 + round_)
         chunk_bound = np.concatenate([[0], np.cumsum(many)])
-        arc_bound = np.concatenate([[0], np.cumsum(count)])[chunk_bound]
+        arc_bound = np.concatenate([[0], np.cumsum(counts)])[chunk_bound]
         # New regions: one per decision from the chosen arc (or the start) on.
         new, base, taken, place = [], [], [], []
         for j, (i, prefix, prefix_lp, arc, excluded, g, _) in enumerate(todo):
@@ -337,12 +353,16 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list
             if round_ < k - 1 and heaps[i]:
                 value_, _, at, parent, pre, ex = heapq.heappop(heaps[i])
                 node = int(lat.begin[parent[at]])
-                options = np.arange(lat.first[node], lat.first[node] + lat.count[node])
-                options = options[~np.isin(options, ex)]
-                p = np.exp(lat.logp[options])
-                u = float(uniform(key[i : i + 1], 4096 + round_, np.array([at]))[0])
-                pick = int(options[min(len(options) - 1, int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")))])
-                done = np.cumsum(np.concatenate([[0], lat.stop[parent[:at]] - lat.begin[parent[:at]]]))[-1]
+                low = int(lat.first[node])
+                options = [x for x in range(low, low + int(lat.count[node])) if x not in ex]
+                weights = lat.p[options].tolist()
+                left_over, pick = _uniform_one(int(key[i]), 4096 + round_, at) * sum(weights), options[-1]
+                for option, weight in zip(options, weights, strict=True):
+                    left_over -= weight
+                    if left_over < 0:
+                        pick = option
+                        break
+                done = int((lat.stop[parent[:at]] - lat.begin[parent[:at]]).sum())
                 chunk = int(np.searchsorted(where[i], done, side="right")) - 1
                 nxt.append((i, parent[:at], pre, pick, ex, -value_, chunk))
         todo = nxt
@@ -397,7 +417,7 @@ def sampled(docs: DataFrame, k: int = K, model: str | None = None, sharpness: fl
                 arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names=[id_column, "sample", "n_pieces", "ids_crc32", "log_prob", "log_inclusion"] + ["ids"] * keep_ids)
 
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(tidied(run), ddl)
 
 
 def encoded(docs: DataFrame, model: str | None = None, id_column: str = "doc_id", column: str = "text") -> DataFrame:
