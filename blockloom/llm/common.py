@@ -38,18 +38,23 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tidy(results: Iterator) -> Iterator:
-    """Pass results on; afterwards hand memory that the C library holds back to the system.
+def release() -> None:
+    """Hand memory that the C library holds back to the system.
 
     Python workers live on for later tasks and stages, and their arrays come and go at sizes that the C library keeps.
     """
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(results: Iterator) -> Iterator:
+    """Pass results on and release memory afterwards."""
     try:
         yield from results
     finally:
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        release()
 
 
 def tidied(f):

@@ -173,6 +173,7 @@ class Lattice:
             at = filled[x]
             self.begin[at], self.stop[at], self.piece[at] = x, y, z
             filled[x] += 1
+        del begin, stop, piece, filled, live, state, whole, bare, char, width
         # Backward sums, from each chunk's end on, all chunks at once.
         end = limit[self.begin]
         last = self.stop == end
@@ -193,7 +194,9 @@ class Lattice:
             safe = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
                 beta[s[heads]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, self.count[s[heads]])), heads))
+        del order, togo, end, limit, bounds
         self.logp = value + np.where(last, 0.0, beta[self.stop]) - beta[self.begin]
+        del value, last, beta
         self.logp[~np.isfinite(self.logp)] = -np.inf
         self.p = np.exp(self.logp)
         with np.errstate(divide="ignore"):
@@ -335,6 +338,7 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list
             inner = np.arange(len(every)) - np.repeat(bound - np.array(place), size)
             # Gumbel values before truncation; truncation at the value taken keeps their order within a text.
             cut = before + free - np.log(-np.log(uniform(np.repeat(key[text_of], size), 1024 + round_, inner)))
+        del free, inner
         left = k - round_  # no more of a text's regions can ever be wanted
         nxt = []
         for j, (i, prefix, prefix_lp, arc, excluded, g_value, _) in enumerate(todo):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, cut, stash, table
+from blockloom.llm.common import bounded_batches, cut, stash, table, tidied
 from blockloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", column: str = "text
             made = [fingerprint(shingle_hashes((x or "").encode("utf-8", "surrogatepass"), size)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], names=[id_column, "fp"])
 
-    return src.mapInArrow(run, f"`{id_column}` {src.schema[0].dataType.simpleString()}, fp long")
+    return src.mapInArrow(tidied(run), f"`{id_column}` {src.schema[0].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -176,7 +176,7 @@ def links(fps: DataFrame, radius: int = RADIUS, dense_from: int = DENSE_FROM) ->
     keys = F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m["k"]).bitwiseXOR(m["x"])))
     emitted = fps.select(keys.alias("key"), "fp")
     dealt = emitted.repartition("key").sortWithinPartitions("key")
-    found = cut(dealt.mapInArrow(_collide(radius, dense_from), "u long, v long, dense long").distinct())
+    found = cut(dealt.mapInArrow(tidied(_collide(radius, dense_from)), "u long, v long, dense long").distinct())
     near = found.where("dense = 0").select("u", "v")
     dense = found.where("dense = 1").select("u").distinct()
     if radius == 3 and dense.take(1):
@@ -240,7 +240,7 @@ def _sketches(docs: DataFrame, id_column: str, column: str, size: int) -> DataFr
             words = pa.array([near_words(x) for x in raw], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), words], names=[id_column, "node", "words"])
 
-    return src.mapInArrow(run, f"`{id_column}` {src.schema[0].dataType.simpleString()}, node long, words array<long>")
+    return src.mapInArrow(tidied(run), f"`{id_column}` {src.schema[0].dataType.simpleString()}, node long, words array<long>")
 
 
 def _similar(similarity: float):
@@ -256,12 +256,26 @@ def _similar(similarity: float):
     return run
 
 
+def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (u, v) whose ends do not share a root; nodes without one are their own.
+
+    Roots reach the edges by sorting both together by node: an end of many edges needs no row of a join for each.
+    """
+    out = edges
+    for end in ("u", "v"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        both = out.unionByName(named, allowMissingColumns=True)
+        known = F.max("_root").over(Window.partitionBy(end))
+        out = both.withColumn(f"{end}_root", F.coalesce(known, F.col(end))).where(F.col("u").isNotNull() & F.col("v").isNotNull()).drop("_root")
+    return out.where("u_root <> v_root").select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, component_id): texts with at least this Jaccard similarity of their word shingles share a component.
 
     A node is a distinct text.  Candidates: nodes that agree in one of the six fingerprint words up to two bits, met at a
     variant within one bit of both.  All members of a variant's group are such, so each is compared only with the group's
-    centre: the node whose own word the variant is, or else the smallest.  Candidates are verified exactly.
+    smallest node and, per word, with the owner of the largest group that it is in.  Candidates are verified exactly.
     """
     bounded_batches(docs.sparkSession)
     marked = stash(_sketches(docs, id_column, column, size))
@@ -269,10 +283,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     flips = F.array(*[F.lit(0).cast("long")] + [F.lit(1 << i).cast("long") for i in range(NEAR_BITS)])
     by_word = nodes.select("node", F.posexplode("words").alias("table", "word"))
     emitted = by_word.select("node", F.explode(F.transform(flips, lambda x: F.struct((F.col("word").bitwiseXOR(x) + F.col("table") * F.lit(1 << NEAR_BITS)).alias("key"), (x != 0).alias("moved")))).alias("e"))
-    w = Window.partitionBy("key").orderBy("moved", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = emitted.select("e.key", "e.moved", "node").withColumn("centre", F.first("node").over(w)).where("node <> centre")
-    pairs = cut(stars.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", F.col("first").alias(id_column)).where(F.col(id_column).isNotNull())
+    w = Window.partitionBy("key")
+    # In a group: how many it has, the node whose own word the variant is, and the smallest node.
+    met = emitted.select("e.key", "e.moved", "node", F.shiftright("e.key", NEAR_BITS).alias("table")).withColumn("n", F.count("*").over(w)).withColumn("own", F.min(F.when(~F.col("moved"), F.col("node"))).over(w)).withColumn("low", F.min("node").over(w))
+    met = cut(met.where("n > 1").select("node", "table", "n", "own", "low"))
+    stars = met.where("node <> low").select("node", F.col("low").alias("centre"), F.lit(1).cast("long").alias("n"))
+    # Besides, per word, the owner of the largest group that a node is in: of many copies that is their common source.
+    owners = met.where("own is not null and node <> own").groupBy("node", "table").agg(F.max_by("own", F.struct("n", "own")).alias("centre"), F.max("n").alias("n")).select("node", "centre", "n")
+    pairs = cut(stars.unionByName(owners).groupBy("node", "centre").agg(F.max("n").alias("n")))
+    wanted = pairs.select("node").union(pairs.select("centre")).distinct().join(nodes, "node").select("node", F.col("first").alias(id_column)).where(F.col(id_column).isNotNull())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,12 +301,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
             right = np.flatnonzero(mine == batch.column(0).to_numpy())  # a repeated id may carry another text
             yield pa.RecordBatch.from_arrays([pa.array(mine[right]), pa.array([shingle_set(raw[i], size).tobytes() for i in right], pa.binary())], names=["node", "shingles"])
 
-    described = stash(docs.select(id_column, column).join(wanted, id_column).select("node", column).mapInArrow(sets, "node long, shingles binary")).dropDuplicates(["node"])
+    described = stash(docs.select(id_column, column).join(wanted, id_column).select("node", column).mapInArrow(tidied(sets), "node long, shingles binary")).dropDuplicates(["node"])
     sized = described.select("node", (F.octet_length("shingles") / 4).alias("n"))
-    fit = pairs.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    fit = fit.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v")
-    both = fit.join(described.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(described.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    roots = connected_components(both.select("u", "v", "su", "sv").mapInArrow(_similar(similarity), "u long, v long"))
+
+    def verified(edges: DataFrame) -> DataFrame:
+        fit = edges.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+        fit = fit.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v")
+        both = fit.join(described.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(described.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+        return cut(both.select("u", "v", "su", "sv").mapInArrow(tidied(_similar(similarity)), "u long, v long"))
+
+    # Shingle sets are heavy, so each node first meets the centre that it shares most variants with, and only
+    # candidates that these links leave in different components are verified after that.
+    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "centre"))).where("rank = 1")
+    edges = verified(best.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
+    roots = connected_components(edges)
+    rest = cut(_apart(pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct(), roots))
+    if rest.take(1):
+        roots = connected_components(edges.unionByName(verified(rest)))
     linked = roots.join(nodes.select("node", "first"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("node", "component_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import best_cut, bounded_batches, labelled_sample, table, utf8
+from blockloom.llm.common import best_cut, bounded_batches, labelled_sample, release, table, utf8
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE = 8, 4
@@ -199,6 +199,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFra
         m = sent.value
         for batch in batches:
             yield pa.array(m.probability(m.logits(*flat(batch.to_pylist()))))
+        release()
 
     return docs.withColumn("score", run(F.col(column)))
 

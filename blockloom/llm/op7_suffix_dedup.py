@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, stash, table, tidied, utf8
+from blockloom.llm.common import bounded_batches, release, stash, table, tidied, utf8
 
 LENGTH = 50
 GRAM = 24
@@ -406,6 +406,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
                 out_bucket.append(bucket)
                 out_start.append(put(np.frombuffer(get(starts), "<u4")[hit].tobytes()))
                 out_mask.append(put(m[hit].tobytes()))
+        release()
         return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "starts": pa.array(out_start, pa.binary()), "masks": pa.array(out_mask, pa.binary())})
 
     masks = around.groupBy("shard").applyInArrow(compare, "bucket int, starts binary, masks binary")
@@ -426,7 +427,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
                     s = starts[(bits >> np.uint64(k)) & np.uint64(1) == 1] + k
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
             n = np.diff(offsets)
             removed, spans, digest, kept = [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
