@@ -39,7 +39,7 @@ def load(path: str):
 class PreTokenCache:
     """Pre-token -> value, filled for whole batches of misses and cleared when it would outgrow its bound."""
 
-    def __init__(self, path: str, kind: str, known: dict | None = None, most: int = 250_000):
+    def __init__(self, path: str, kind: str, known: dict | None = None, most: int = 450_000):
         self.tokenizer, self.kind, self.split, self.most = load(path), kind, SPLITS[kind].findall, most
         self.known = dict(known or {})
         self.found = dict(self.known)
