@@ -141,6 +141,27 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in op1_simhash.drop_near_duplicates(df).collect()) == sorted(set(want))
 
 
+def edited(rng, kind, n=300, part=None):
+    """A text and a block-edited copy: words appended, cut off or replaced in one place."""
+    w = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    k = int(n * part)
+    new = [f"n{x}" for x in rng.integers(0, 10**7, k)]
+    at = int(rng.integers(0, n - k))
+    return w, {"appended": w + new, "truncated": w[: n - k], "replaced": w[:at] + new + w[at + k :]}[kind]
+
+
+@pytest.mark.parametrize(("kind", "part"), [("appended", 0.22), ("truncated", 0.17), ("replaced", 0.09)])
+def test_block_edits_are_near_duplicates(spark, kind, part):
+    """Copies edited in one block, just above the threshold."""
+    rng = np.random.default_rng(21)
+    pairs = [edited(rng, kind, part=part) for _ in range(150)]
+    sets = [[{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in p] for p in pairs]
+    assert all(0.8 <= len(a & b) / len(a | b) < 0.86 for a, b in sets)
+    df = spark.createDataFrame([(2 * i + j, " ".join(w)) for i, p in enumerate(pairs) for j, w in enumerate(p)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op1_simhash.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 # --- 2, 3 ---
 
 
