@@ -202,6 +202,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
 #: one in 17,000 at 0.8, one in 4 million at 0.85, wherever the texts differ.
 NEAR_BANDS, NEAR_ROWS = 32, 6
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Groups of up to so many nodes are compared as rows of pairs, larger ones in blocks of so many nodes or bytes of shingles.
+PAIRED, BLOCK_NODES, BLOCK_BYTES = 16, 256, 8 << 20
 #: Ids that may be broadcast (8 bytes each, so 16 MB); beyond it the joins shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -256,6 +258,58 @@ def _similar(similarity: float):
     return run
 
 
+def _block_links(sets: list[np.ndarray], block: np.ndarray, root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that connect whatever is similar across roots: all pairs of two blocks, or of the only one."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    width = 1 << int(np.clip(4 * size.max(), 1024, 1 << 16) - 1).bit_length()
+    # Parities of shingles per slot: where they differ, so do the sets, hence at most as many slots as shingles differ.
+    odd = np.zeros((m, width // 64), np.uint64)
+    for i, x in enumerate(sets):
+        odd[i] = np.packbits(np.bincount(x & np.uint32(width - 1), minlength=width).astype(np.uint8) & 1).view(np.uint64)
+    label = np.unique(root, return_inverse=True)[1]
+    both_blocks = block.min() != block.max()
+    out = []
+    for i in range(m):
+        other = np.flatnonzero((label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | (not both_blocks))) + i + 1
+        other = other[np.minimum(size[other], size[i]) >= np.maximum(size[other], size[i]) * similarity]
+        if not len(other):
+            continue
+        apart = np.bitwise_count(odd[other] ^ odd[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= (size[other] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-6
+        for j in other[near][np.argsort(apart[near], kind="stable")].tolist():
+            if label[j] != label[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (size[i] + size[j] - both):
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _link_blocks(similarity: float):
+    """Links of each job of a partition that is sorted by job; (key, lo, hi, block, node, root, shingles) in."""
+
+    def made(job: list[tuple]) -> pa.RecordBatch:
+        node = [x[1] for x in job]
+        found = _block_links([np.frombuffer(x[3], np.uint32) for x in job], np.array([x[0] for x in job]), np.array([x[2] for x in job], np.int64), similarity)
+        ends = [[max(node[i], node[j]) for i, j in found], [min(node[i], node[j]) for i, j in found]]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, job = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    if job:
+                        yield made(job)
+                    at, job = row[:3], []
+                job.append(row[3:])
+        if job:
+            yield made(job)
+
+    return run
+
+
 def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Edges (u, v) whose ends do not share a root; nodes without one are their own.
 
@@ -273,8 +327,10 @@ def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, component_id): texts with at least this Jaccard similarity of their word shingles share a component.
 
-    A node is a distinct text.  Candidates: nodes that share a MinHash band.  Each is compared only with the smallest node
-    of every band that it is in.  Candidates are verified exactly.
+    A node is a distinct text.  Candidates: nodes that share a MinHash band.  Each is first compared with the smallest node
+    of every band that it is in.  Where this leaves a band's nodes in several components, all its pairs across components are
+    compared: small groups as pairs, larger ones in blocks, every block with every other, in tasks of their own.  No candidate
+    goes unverified unless its ends are connected already.
     """
     bounded_batches(docs.sparkSession)
     marked = stash(_sketches(docs, id_column, column, size))
@@ -310,7 +366,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     roots = connected_components(edges)
     rest = cut(_apart(pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct(), roots))
     if rest.take(1):
-        roots = connected_components(edges.unionByName(verified(rest)))
+        edges = cut(edges.unionByName(verified(rest)))
+        roots = connected_components(edges)
+    # What the stars leave: bands with several components.  Their smallest node has met all others by now.
+    open_ = met.where("n > 2 and node <> low").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = open_.withColumn("mixed", F.min("root").over(w) < F.max("root").over(w)).where("mixed").join(sized.withColumnRenamed("n", "size"), "node")
+    open_ = cut(open_.withColumn("n", F.count("*").over(w)).withColumn("bytes", F.sum("size").over(w) * 4).select("key", "node", "root", "n", "bytes", "size"))
+    if open_.take(1):
+        few = open_.where(F.col("n") <= PAIRED)
+        left, right = (few.select("key", *[F.col(c).alias(c + end) for c in ("node", "root", "size")]) for end in "uv")
+        met_ = left.join(right, "key").where("nodeu > nodev and rootu <> rootv").where(F.least("sizeu", "sizev") >= F.greatest("sizeu", "sizev") * similarity)
+        more = verified(met_.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct())
+        many = open_.where(F.col("n") > PAIRED).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+        many = many.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        jobs = many.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "root").join(described, "node").select("key", "lo", "hi", "block", "node", "root", "shingles")
+        dealt = jobs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        more = cut(more.unionByName(dealt.mapInArrow(tidied(_link_blocks(similarity)), "u long, v long")).distinct())
+        if more.take(1):
+            roots = connected_components(edges.unionByName(more))
     linked = roots.join(nodes.select("node", "first"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("node", "component_id")

@@ -162,6 +162,28 @@ def test_block_edits_are_near_duplicates(spark, kind, part):
     assert got == {i: i - i % 2 for i in range(300)}
 
 
+@pytest.mark.parametrize("blocks", [(16, 256), (16, 20), (0, 20)])
+def test_links_between_nodes_that_no_centre_is_near(spark, monkeypatch, blocks):
+    """Documents of one template just below the threshold, each with a copy: copies must meet although all share bands."""
+    monkeypatch.setattr(op1_simhash, "PAIRED", blocks[0])
+    monkeypatch.setattr(op1_simhash, "BLOCK_NODES", blocks[1])
+    rng = np.random.default_rng(4)
+    template, texts = [f"w{x}" for x in rng.integers(0, 50_000, 300)], []
+    for i in range(200):
+        at = 24 + int(rng.integers(0, 240))
+        own = template[:at] + [f"d{i}x{k}" for k in range(30)] + template[at + 30 :]
+        twin = list(own)
+        for p in rng.choice(300, 6, replace=False):
+            twin[p] = f"s{i}y{p}"
+        texts += [own, twin]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = classes(list(range(len(texts))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(want)) > 100
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op1_simhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # --- 2, 3 ---
 
 
