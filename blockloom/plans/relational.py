@@ -392,6 +392,13 @@ def _(spark, d):
     return p.where("p_partkey % 50 = 1").join(q, "p_brand", "left_semi").select("p_brand")
 
 
+@query("files_with_quantized_all", f"{_GGML} SELECT p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part JOIN g USING (p_partkey) WHERE ggml_type NOT IN ('F32', 'F16', 'BF16', 'F64'))")
+def _(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand")
+    q = _ggml(spark, d).where("is_quantised").join(p, "p_partkey").select("p_brand").distinct()
+    return p.join(q, "p_brand", "left_semi").select("p_brand")
+
+
 # --- classifiers over synthesised names ---
 
 _NAMES = ("model.safetensors", "adapter_model.safetensors", "model-00001-of-00003.safetensors", "weights.gguf", "pytorch_model.bin", "optimizer.pt", "last.ckpt", "tokenizer.json", "config.json", "model.safetensors.index.json", "notes.txt", "trainer_state.json")
