@@ -156,16 +156,18 @@ def _collide(radius: int, dense_from: int, rows: int = 1 << 19):
     return run
 
 
-def _dense_links(fps: DataFrame) -> DataFrame:
+def _dense_links(fps: DataFrame, radius: int) -> DataFrame:
     """Links among fingerprints by full balls: in a bucket, whoever is within one bit of the centre is within three of all."""
     flips = [(0, 0)] + [(_signed(1 << i), 1) for i in range(64)] + [(_signed((1 << i) | (1 << j)), 2) for i in range(64) for j in range(i)]
     spark = fps.sparkSession
     balls = F.broadcast(spark.createDataFrame(flips, "flip long, d int"))  # 2,081 rows, whatever the data
     odd = F.bit_count("u") % 2
     # Odd distances join unlike parities: the even side's radius two meets the odd side's radius one.  Even ones meet at one.
-    emitted = fps.join(balls, (F.col("d") < 2) | (odd == 0)).select(F.col("u").bitwiseXOR(F.col("flip")).alias("key"), "u", "d")
+    reach = (F.col("d") < 2) | (odd == 0) if radius == 3 else F.col("d") < 2
+    emitted = fps.join(balls, reach).select(F.col("u").bitwiseXOR(F.col("flip")).alias("key"), "u", "d")
     w = Window.partitionBy("key")
-    return emitted.withColumn("v", F.min(F.when(F.col("d") < 2, F.col("u"))).over(w)).where("v is not null and v <> u").select("u", "v").distinct()
+    # At radius one only the centre itself is near all; at two all of a ball of one are near each other.
+    return emitted.withColumn("v", F.min(F.when(F.col("d") < (1 if radius == 1 else 2), F.col("u"))).over(w)).where("v is not null and v <> u").select("u", "v").distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS, dense_from: int = DENSE_FROM) -> DataFrame:
@@ -179,8 +181,8 @@ def links(fps: DataFrame, radius: int = RADIUS, dense_from: int = DENSE_FROM) ->
     found = cut(dealt.mapInArrow(tidied(_collide(radius, dense_from)), "u long, v long, dense long").distinct())
     near = found.where("dense = 0").select("u", "v")
     dense = found.where("dense = 1").select("u").distinct()
-    if radius == 3 and dense.take(1):
-        near = near.unionByName(_dense_links(dense))
+    if radius and dense.take(1):  # distinct fingerprints have no links at radius zero
+        near = near.unionByName(_dense_links(dense, radius))
     return near
 
 

@@ -141,6 +141,18 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in op1_simhash.drop_near_duplicates(df).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_dense_groups_at_every_radius(spark, radius):
+    rng = np.random.default_rng(13)
+    centre = int(rng.integers(0, 2**62))
+    fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(62, n, replace=False)) for n in (0, 1, 2, 3, 4, 5) for _ in range(8)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    edges = op1_simhash.links(df, radius, dense_from=2)
+    root = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    want = classes(fps, lambda a, b: (a ^ b).bit_count() <= radius)
+    assert [root.get(x, x) for x in fps] == [fps[i] for i in want]
+
+
 def edited(rng, kind, n=300, part=None):
     """A text and a block-edited copy: words appended, cut off or replaced in one place."""
     w = [f"w{x}" for x in rng.integers(0, 50_000, n)]
