@@ -83,6 +83,44 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL writes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder of the shared file system, whatever system that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with more than this share of all rows is hot; there can be at most 1 / HOT_SHARE such keys.
+HOT_SHARE = 0.001
+
+
+def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with ``named``, which has one row per key and in ``n`` how many of the ``total`` rows have it.
+
+    Hot keys, at most 1,000 by their definition, are broadcast, so their rows stay where they are; no other key
+    has more than a thousandth of the rows, so no task of the shuffled join is large.  Both inputs are read twice.
+    """
+    least = total * HOT_SHARE
+    hot = named.where(F.col(n) > least)
+    if not hot.take(1):
+        return rows.join(named.drop(n), keys)
+    met = rows.join(F.broadcast(hot.drop(n)), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(named.where(F.col(n) <= least).drop(n), keys)
+    return met.unionByName(rest)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -95,14 +133,16 @@ def doc_hash(*columns):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_if, rows: int, most_bytes: int = 200_000, id_column: str = "doc_id", column: str = "text", also: tuple[str, ...] = ()) -> pa.Table:
     """At most ``rows`` labelled rows (text, label, and columns of ``also``) for fitting, in a fixed pseudo-random order.
 
-    The bound holds the driver's memory: ids are drawn first, so only the drawn texts travel, and texts over
-    ``most_bytes`` are not learnt from (they are scored like all others).  An id with several labels counts as often.
+    The bounds hold the driver's memory: ids are drawn first, so only the drawn texts travel, and of those ``rows`` at most
+    where ids repeat; texts over ``most_bytes`` are not learnt from (they are scored like all others).  An id with
+    several labels counts as often.
     """
     key = F.crc32(F.col(id_column).cast("string").cast("binary"))
     drawn = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).where(learn_if(key)).select(id_column, F.col(label).cast("int").alias("label"))
     drawn = drawn.orderBy(F.xxhash64(id_column, F.lit(7)), id_column, "label").limit(rows)
     chosen = docs.select(id_column, column, *also).where((F.octet_length(column) <= most_bytes) & F.col(column).isNotNull())
-    got = chosen.join(F.broadcast(drawn), id_column).select(id_column, column, "label", *also).toArrow()
+    met = chosen.join(F.broadcast(drawn), id_column).select(id_column, column, "label", *also)
+    got = met.orderBy(F.xxhash64(id_column, column, F.lit(7)), id_column, "label").limit(rows).toArrow()
     return got.sort_by([(id_column, "ascending"), (column, "ascending")])  # the same order on every run
 
 

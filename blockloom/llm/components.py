@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import cut
+from blockloom.llm.common import cut, join_spread
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -24,8 +24,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        # The centre of a large star has as many edges: its rows are not dealt by it.
+        large = join_spread(both.where("v > u"), low, ["u"], "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

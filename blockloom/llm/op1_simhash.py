@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, cut, stash, table, tidied
+from blockloom.llm.common import bounded_batches, cut, fresh, join_spread, quoted, stash, table, text_or_empty, tidied
 from blockloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", column: str = "text
             made = [fingerprint(shingle_hashes((x or "").encode("utf-8", "surrogatepass"), size)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], names=[id_column, "fp"])
 
-    return src.mapInArrow(tidied(run), f"`{id_column}` {src.schema[0].dataType.simpleString()}, fp long")
+    return src.mapInArrow(tidied(run), f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -189,13 +189,13 @@ def links(fps: DataFrame, radius: int = RADIUS, dense_from: int = DENSE_FROM) ->
 def components(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = SHINGLE, radius: int = RADIUS, dense_from: int = DENSE_FROM) -> DataFrame:
     """(id, fp, component_id): rows whose fingerprints link, directly or through others, share the smallest id."""
     marked = stash(fingerprints(docs, id_column, column, size))
-    groups = marked.groupBy("fp").agg(F.min(id_column).alias("first"))
+    groups = cut(marked.groupBy("fp").agg(F.min(id_column).alias("first"), F.count("*").alias("n")))
     roots = connected_components(links(groups.select("fp"), radius, dense_from))
     linked = roots.join(groups, roots.node == groups.fp).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = linked.join(least, "root").select("fp", "component_id")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(named, "fp").select(id_column, "fp", "component_id")
+    named = groups.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    return join_spread(marked, cut(named), ["fp"], "n", marked.count()).select(id_column, "fp", "component_id")
 
 
 # --- near copies by similarity ----------------------------------------------------------------------------
@@ -206,8 +206,8 @@ NEAR_BANDS, NEAR_ROWS = 32, 6
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Groups of up to so many nodes are compared as rows of pairs, larger ones in blocks of so many nodes or bytes of shingles.
 PAIRED, BLOCK_NODES, BLOCK_BYTES = 16, 256, 8 << 20
-#: Ids that may be broadcast (8 bytes each, so 16 MB); beyond it the joins shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows of two longs that may be broadcast (some 60 bytes each in a hash table, so 60 MB); beyond it the joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _multipliers() -> np.ndarray:
@@ -229,22 +229,25 @@ def near_bands(text: bytes, size: int = NEAR_SHINGLE, multipliers: np.ndarray |
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the word shingles."""
-    return np.unique((shingle_hashes(text, size) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    """Sorted distinct 64-bit hashes of the word shingles."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def text_node(column: str):
+    """A text's node: the 64-bit hash of the whole text, null as empty."""
+    return F.xxhash64(text_or_empty(column))
 
 
 def _sketches(docs: DataFrame, id_column: str, column: str, size: int) -> DataFrame:
-    src = docs.select(id_column, column)
+    src = docs.select(id_column, column, text_node(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _multipliers()
         for batch in batches:
-            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
-            node = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
-            bands = pa.array([near_bands(x, size, by) for x in raw], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), bands], names=[id_column, "node", "bands"])
+            bands = pa.array([near_bands((x or "").encode("utf-8", "surrogatepass"), size, by) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), bands], names=[id_column, "node", "bands"])
 
-    return src.mapInArrow(tidied(run), f"`{id_column}` {src.schema[0].dataType.simpleString()}, node long, bands array<long>")
+    return src.mapInArrow(tidied(run), f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, node long, bands array<long>")
 
 
 def _similar(similarity: float):
@@ -252,7 +255,7 @@ def _similar(similarity: float):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -268,7 +271,7 @@ def _block_links(sets: list[np.ndarray], block: np.ndarray, root: np.ndarray, si
     # Parities of shingles per slot: where they differ, so do the sets, hence at most as many slots as shingles differ.
     odd = np.zeros((m, width // 64), np.uint64)
     for i, x in enumerate(sets):
-        odd[i] = np.packbits(np.bincount(x & np.uint32(width - 1), minlength=width).astype(np.uint8) & 1).view(np.uint64)
+        odd[i] = np.packbits(np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).view(np.uint64)
     label = np.unique(root, return_inverse=True)[1]
     both_blocks = block.min() != block.max()
     out = []
@@ -293,7 +296,7 @@ def _link_blocks(similarity: float):
 
     def made(job: list[tuple]) -> pa.RecordBatch:
         node = [x[1] for x in job]
-        found = _block_links([np.frombuffer(x[3], np.uint32) for x in job], np.array([x[0] for x in job]), np.array([x[2] for x in job], np.int64), similarity)
+        found = _block_links([np.frombuffer(x[3], np.uint64) for x in job], np.array([x[0] for x in job]), np.array([x[2] for x in job], np.int64), similarity)
         ends = [[max(node[i], node[j]) for i, j in found], [min(node[i], node[j]) for i, j in found]]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["u", "v"])
 
@@ -329,31 +332,32 @@ def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, component_id): texts with at least this Jaccard similarity of their word shingles share a component.
 
-    A node is a distinct text.  Candidates: nodes that share a MinHash band.  Each is first compared with the smallest node
+    A node is a distinct text, known by a hash of 64 bits (among n texts some n**2 / 2**65 pairs share one by chance).  Candidates: nodes that share a MinHash band.  Each is first compared with the smallest node
     of every band that it is in.  Where this leaves a band's nodes in several components, all its pairs across components are
     compared: small groups as pairs, larger ones in blocks, every block with every other, in tasks of their own.  No candidate
     goes unverified unless its ends are connected already.
     """
     bounded_batches(docs.sparkSession)
     marked = stash(_sketches(docs, id_column, column, size))
-    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("bands").alias("bands")))
+    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("bands").alias("bands"), F.count("*").alias("n")))
     w = Window.partitionBy("key")
     # In a band's group: how many it has, and the smallest node.
     met = nodes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(w)).withColumn("low", F.min("node").over(w))
     met = cut(met.where("n > 1"))
     pairs = cut(met.where("node <> low").groupBy("node", F.col("low").alias("centre")).agg(F.count("*").alias("n")))
-    wanted = pairs.select("node").union(pairs.select("centre")).distinct().join(nodes, "node").select("node", F.col("first").alias(id_column)).where(F.col(id_column).isNotNull())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = cut(pairs.select("node").union(pairs.select("centre")).distinct().join(nodes, "node").select("node", "first"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
-            mine = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
-            right = np.flatnonzero(mine == batch.column(0).to_numpy())  # a repeated id may carry another text
-            yield pa.RecordBatch.from_arrays([pa.array(mine[right]), pa.array([shingle_set(raw[i], size).tobytes() for i in right], pa.binary())], names=["node", "shingles"])
+            made = [shingle_set((x or "").encode("utf-8", "surrogatepass"), size).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
 
-    described = stash(docs.select(id_column, column).join(wanted, id_column).select("node", column).mapInArrow(tidied(sets), "node long, shingles binary").dropDuplicates(["node"]))
-    sized = described.select("node", (F.octet_length("shingles") / 4).alias("n"))
+    # Of a node's copies only those with the smallest id are described.
+    named = docs.select(F.col(id_column).alias("first"), F.col(column).alias("text"), text_node(column).alias("node"))
+    met_once = named.alias("d").join(wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.first").eqNullSafe(F.col("w.first")))
+    described = stash(met_once.select("d.node", "d.text").mapInArrow(tidied(sets), "node long, shingles binary").dropDuplicates(["node"]))
+    sized = described.select("node", (F.octet_length("shingles") / 8).alias("n"))
 
     def verified(edges: DataFrame) -> DataFrame:
         fit = edges.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
@@ -373,7 +377,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     # What the stars leave: bands with several components.  Their smallest node has met all others by now.
     open_ = met.where("n > 2 and node <> low").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = open_.withColumn("mixed", F.min("root").over(w) < F.max("root").over(w)).where("mixed").join(sized.withColumnRenamed("n", "size"), "node")
-    open_ = cut(open_.withColumn("n", F.count("*").over(w)).withColumn("bytes", F.sum("size").over(w) * 4).select("key", "node", "root", "n", "bytes", "size"))
+    open_ = cut(open_.withColumn("n", F.count("*").over(w)).withColumn("bytes", F.sum("size").over(w) * 8).select("key", "node", "root", "n", "bytes", "size"))
     if open_.take(1):
         few = open_.where(F.col("n") <= PAIRED)
         left, right = (few.select("key", *[F.col(c).alias(c + end) for c in ("node", "root", "size")]) for end in "uv")
@@ -387,25 +391,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
         if more.take(1):
             roots = connected_components(edges.unionByName(more))
     linked = roots.join(nodes.select("node", "first"), "node")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "root").select("node", "component_id")
-    named = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.select(id_column, "node").join(named, "node")
+    # The document that stands for a component: the one with the smallest id (rows without id come last), then node.
+    order = F.struct(F.col("first").isNull().alias("late"), F.col("first"), F.col("node"))
+    least = linked.groupBy("root").agg(F.min(order).alias("least"), F.count("*").alias("n"))
+    linked = join_spread(linked, cut(least), ["root"], "n", roots.count()).select("node", F.col("least.first").alias("component_id"), F.col("least.node").alias("kept"))
+    named = nodes.join(linked.withColumn("linked", F.lit(True)), "node", "left")
+    chosen = lambda a, b: F.when(F.col("linked"), F.col(a)).otherwise(F.col(b))
+    named = cut(named.select("node", "n", chosen("component_id", "first").alias("component_id"), chosen("kept", "node").alias("kept")))
+    return join_spread(marked.select(id_column, "node"), named, ["node"], "n", marked.count())
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document, the one with the smallest id, of each group of near duplicates.
 
-    Rows without id are kept; rows that repeat an id of the group's document count as that document, once.
+    Documents are told apart by id and text, so an id that several texts share loses only the texts that go.  Rows without
+    id come after all others and are told apart by text alone.  Rows that repeat both id and text count as one document.
     """
     found = stash(near_duplicates(docs, id_column, column, size, similarity))
-    losers = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    losers = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
-    kept = docs.join(losers, id_column, "left_anti")
-    repeated = found.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1")
-    if repeated.take(1):
-        kept = kept.where(F.col(id_column).isNull()).unionByName(kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]))
-    return kept
+    stays = F.col(id_column).eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("kept"))
+    its_id, its_node = fresh(docs, "its_id"), fresh(docs, "its_node")
+    named = lambda rows: rows.select(F.col(id_column).alias(its_id), F.col("node").alias(its_node))
+    same = (text_node(column) == F.col(its_node)) & F.col(id_column).eqNullSafe(F.col(its_id))
+    losers = cut(named(found.where(~stays)).distinct())
+    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
+    kept = docs.join(losers, same, "left_anti")
+    repeated = cut(named(found.where(stays).groupBy(id_column, "node").count().where("count > 1")))
+    if not repeated.take(1):
+        return kept
+    # Only documents that repeat need a shuffle to keep one row of each.
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    again = kept.join(repeated, same, "left_semi").withColumn(its_node, text_node(column)).dropDuplicates([id_column, its_node]).drop(its_node)
+    return kept.join(repeated, same, "left_anti").unionByName(again)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
