@@ -7,7 +7,7 @@ the counts of open bins per fill level becomes smallest: with N(h) open bins at
 moves a bin from h to h + s, and a full bin leaves the count.  All lengths of a group are known, so a bin is
 opened only where no open one has room.
 
-Null texts count as empty (one closing id).  Ties are broken towards the fullest bin.  Repeated rows are
+Null texts count as empty (one closing id); very long texts are tokenised in slices of whole texts and cut into pieces.  Ties are broken towards the fullest bin.  Repeated rows are
 packed as often as they occur; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -21,14 +21,16 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockloom.llm import tokens
-from blockloom.llm.common import bounded_batches, table, tidied
+from blockloom.llm.common import bounded_batches, quoted, table, tidied
 
 MODEL = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
-GROUP_ROWS = 20_000
+#: Pieces of a group: a bound, for a document of n bytes has at most 1 + n / CAPACITY pieces.
+GROUP_ROWS = 40_000
 
 
 def cut_lengths(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -77,16 +79,16 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False, cache_entries: int = tokens.MOST_ENTRIES) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, with keep_ids, the ids themselves."""
     bounded_batches(docs.sparkSession)
     path = model or public_tokenizers.path(MODEL)
     src = docs.select(id_column, column)
     extra = [pa.field("ids", pa.list_(pa.int32()))] if keep_ids else []
-    ddl = f"{id_column} {src.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    ddl = f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.worker_cache(tokens.PreTokenCache, path, kind)
+        cache = tokens.worker_cache(tokens.PreTokenCache, path, kind, most=cache_entries)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             items = [x or "" for x in batch.column(1).to_pylist()]
@@ -112,9 +114,9 @@ def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", ca
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Add sequence_id and offset to rows with a column ``length``; n_items (about) sets the number of groups."""
+    """Add sequence_id and offset to rows with a column ``length``; n_items, a bound of their number, sets the number of groups."""
     groups = max(1, -(-n_items // group_rows))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
+    ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -129,9 +131,11 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: i
     return items.repartition(groups).mapInArrow(tidied(place), ddl)
 
 
-def pack_documents(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack_documents(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False, group_rows: int = GROUP_ROWS, cache_entries: int = tokens.MOST_ENTRIES) -> DataFrame:
     """Pieces of all documents with their place; with keep_ids also the token ids to write the sequences from."""
-    return pack(pieces(docs, model, kind, capacity, id_column, column, keep_ids), docs.count(), capacity, group_rows)
+    # No token is shorter than a byte, so this bounds the number of pieces.
+    most = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")).first()
+    return pack(pieces(docs, model, kind, capacity, id_column, column, keep_ids, cache_entries), most["n"] + most["bytes"] // capacity, capacity, group_rows)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

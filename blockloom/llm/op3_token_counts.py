@@ -1,12 +1,13 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of frequent pre-tokens and their token counts, broadcast to all workers; its
-size is bounded by ``table_size``, whatever the corpus.  Tier two encodes what the table misses, once for
-each batch, and keeps it in a bounded cache of the worker.  No pre-token is ever shuffled: the only Spark
-work is one narrow projection.  The table is only a cache, so its sample never changes a count.
-
-Null texts count as empty: no bytes and no tokens.  Repeated rows give repeated results, an empty table an
-empty result, and extra columns are ignored.
+Tier one is a compact hash table (arrays with open addressing) of frequent pre-tokens and their token counts, broadcast to
+all workers and probed as it is; its size is bounded by ``table_size``, whatever the corpus.  Tier two encodes what the
+table misses, once for each batch, and keeps it in a bounded cache of the worker.  No pre-token is ever shuffled: the only
+Spark work is one narrow projection.  The table is only a cache, so the sample that it is learnt from never changes a count.
+
+Null texts count as empty: no bytes and no tokens.  Very long texts are counted whole, one at a time.  A column of docs
+that is named like the output is replaced; other columns are kept.  Repeated rows give repeated results, an empty table an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,23 +29,25 @@ MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 
 
-def frequent_lengths(docs: DataFrame, path: str, kind: str, column: str = "text", sample_rows: int = 2000, sample_chars: int = 4000, table_size: int = 65_536) -> tuple[bytes, bytes]:
-    """Tier one: (pre-tokens, joined by line breaks; a byte for each one's token count).
+def frequent_lengths(docs: DataFrame, path: str, kind: str, column: str = "text", sample_rows: int = 2000, most_bytes: int = 16_384, table_size: int = 65_536) -> tokens.FrequentLengths:
+    """Tier one, learnt from about ``sample_rows`` whole texts of at most ``most_bytes``, drawn over the whole table by their hash.
 
-    Learnt from the openings of at most ``sample_rows`` rows, at most ``sample_chars`` long.  That bounds the driver's work;
-    results do not depend on it, since misses are encoded.
+    The bounds hold the driver's memory; results do not depend on the sample, since misses are encoded.
     """
-    rows = docs.select(F.substring(F.col(column), 1, sample_chars).alias("t")).where("t is not null").take(sample_rows)  # stops reading once it has them
+    total = docs.count()
+    fits = docs.select(F.col(column).alias("t")).where(F.octet_length("t") <= most_bytes)
+    drawn = fits.where(F.pmod(F.xxhash64("t", F.lit(11)), F.lit(1 << 20)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 20)))
+    # Copies share a hash: they count once.
+    rows = drawn.distinct().limit(2 * sample_rows).toArrow().column(0)
     cache = tokens.LengthCache(path, kind, most=1 << 30)
-    split = [cache.pieces(x) for (x,) in rows if tokens.is_safe(x)]
-    common = [x for x, n in Counter(chain.from_iterable(split)).most_common(table_size) if "\n" not in x]
+    split = [cache.pieces(x) for x in rows.to_pylist() if tokens.is_safe(x)]
+    common = [x for x, _ in Counter(chain.from_iterable(split)).most_common(table_size)]
     cache.fill([common])
-    kept = [x for x in common if cache.found[x] < 256]
-    return "\n".join(kept).encode(), bytes(cache.found[x] for x in kept)
+    return tokens.FrequentLengths(common, [cache.found[x] for x in common])
 
 
-def count_tokens(docs: DataFrame, model: str | None = None, kind: str = "word_bpe", column: str = "text", table_size: int = 65_536) -> DataFrame:
-    """All columns of docs and ``n_tokens``; ``model`` is the path of a tokenizer's file."""
+def count_tokens(docs: DataFrame, model: str | None = None, kind: str = "word_bpe", column: str = "text", table_size: int = 65_536, out: str = "n_tokens") -> DataFrame:
+    """All columns of docs and the count, named ``out``; ``model`` is the path of a tokenizer's file."""
     spark = docs.sparkSession
     bounded_batches(spark)
     path = model or public_tokenizers.path(MODEL)
@@ -52,9 +55,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, kind: str = "word_bp
 
     @F.arrow_udf("long")
     def n_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, lengths = frequent.value
-        known = dict(zip(words.decode().split("\n"), lengths, strict=True)) if lengths else {}
-        cache = tokens.worker_cache(tokens.LengthCache, path, kind, known)
+        cache = tokens.worker_cache(tokens.LengthCache, path, kind, frequent.value)
         for batch in batches:
             items = [x or "" for x in batch.to_pylist()]
             counts = np.zeros(len(items), np.int64)
@@ -69,7 +70,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, kind: str = "word_bp
                     counts[i] = cache.whole(items[i])
             yield pa.array(counts)
 
-    return docs.withColumn("n_tokens", n_tokens(F.col(column)))
+    return docs.withColumn(out, n_tokens(F.col(column)))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
