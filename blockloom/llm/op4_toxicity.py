@@ -8,7 +8,7 @@ gets a cut of its own where enough labelled rows of it were held back (languages
 Fitting uses a bounded sample (``sample_rows``) of labelled rows.  Scoring is one narrow map with
 bounded memory, whatever a text's length: long texts are scored in overlapping windows whose maxima combine exactly.
 Null and empty texts have no words and get the score of silence.  Repeated rows score alike; an empty table gives an
-empty result; extra columns are ignored.  Without labels of both classes every score is 0.
+empty result.  ``score`` keeps all columns but those that are named like its outputs (``out``), which it replaces.  Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -281,12 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, learn_if, label: str = "toxic", sa
     return fit(labelled_sample(docs, labels, label, learn_if, sample_rows, also=also))
 
 
-def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
-    """docs with ``score`` and the ``cut`` of the row's language."""
+def score(docs: DataFrame, model: Model | None, column: str = "text", out: tuple[str, str] = ("score", "cut")) -> DataFrame:
+    """docs with the score and the cut of the row's language, named as ``out`` says."""
     spark = docs.sparkSession
     bounded_batches(spark)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("cut", F.lit(AT))
+        return docs.withColumns({out[0]: F.lit(0.0), out[1]: F.lit(AT)})
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFra
     for name, at in model.cuts.items():
         if name and "lang" in docs.columns:
             cut = F.when(F.col("lang") == name, F.lit(at)).otherwise(cut)
-    return docs.withColumn("score", run(F.col(column))).withColumn("cut", cut)
+    return docs.withColumns({out[0]: run(F.col(column)), out[1]: cut})
 
 
 def learns(key):

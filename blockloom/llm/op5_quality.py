@@ -7,7 +7,8 @@ logistic layer turns that into a probability, calibrated so that the best single
 
 Fitting uses a bounded sample (``sample_rows``) of labelled rows; scoring is one narrow map over chunk batches of
 bounded size, whatever a text's length.  Null and empty texts are one empty chunk.  Repeated rows score alike; an
-empty table gives an empty result; extra columns are ignored.  Without labels of both classes every score is 0.
+empty table gives an empty result.  ``score`` keeps all columns but one that is named like its output (``out``), which it
+replaces.  Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -186,12 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, learn_if, label: str = "quality",
     return fit(labelled_sample(docs, labels, label, learn_if, sample_rows))
 
 
-def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
-    """docs with ``score``: the probability that a text is of good quality."""
+def score(docs: DataFrame, model: Model | None, column: str = "text", out: str = "score") -> DataFrame:
+    """docs with ``out``: the probability that a text is of good quality."""
     spark = docs.sparkSession
     bounded_batches(spark)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0))
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -201,7 +202,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFra
             yield pa.array(m.probability(m.logits(*flat(batch.to_pylist()))))
         release()
 
-    return docs.withColumn("score", run(F.col(column)))
+    return docs.withColumn(out, run(F.col(column)))
 
 
 def learns(key):
