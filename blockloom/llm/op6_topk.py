@@ -1,10 +1,12 @@
 """Exact top-k search by tiled matrix products.
 
 Vectors are quantised with built-in functions, then packed: candidate rows into shards and queries into
-blocks, both of bounded size, by a hash of the id (so no id or repeated vector makes a shard large).  Each
-(query block, shard) pair is one tile: a matrix product, a partial selection of k per query, and at most k rows
-per query out.  The per-query lists then merge as a tree, first over groups of shards, then over all.
-Every stage is a shuffle on a key whose groups are bounded, and nothing is broadcast.
+blocks, both of bounded size, dealt by a hash of id, vector and input partition (so no id or repeated vector makes a shard
+large), in 16-bit numbers where these hold them.  Each (query block, shard) pair is one tile and one key of the join that
+brings both together: matrix products over strips of queries, a partial selection of k per query, and at most k rows per
+query out.  The per-query lists then merge as a tree, over groups of FAN_IN lists on each level.
+Every stage is a shuffle on a key whose groups are bounded, and nothing is broadcast.  What travels is every shard once per
+query block and every block once per shard, so blocks and shards are as large as a task's memory allows.
 
 Ties go to the smaller vec_id.  Candidates are all rows with another id than the query's; a repeated row is
 a candidate of its own, and a query id that occurs in several rows is searched once for each distinct vector and
@@ -26,8 +28,10 @@ from blockloom.llm.common import bounded_batches, table
 
 K = 5
 EVERY = 50
-SHARD_ROWS = 4096
-BLOCK_ROWS = 1024
+SHARD_ROWS = 16_384
+BLOCK_ROWS = 4096
+#: Queries whose scores against a shard are held at once.
+STRIP_ROWS = 256
 FAN_IN = 32
 
 
@@ -47,9 +51,11 @@ def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
         ids = t.column("id").to_numpy().astype("<i8")
         m = t.column("v").combine_chunks()
         flat = np.asarray(m.flatten(), "<f8")
+        if len(flat) and -(2**15) <= flat.min() and flat.max() < 2**15:
+            flat = flat.astype("<i2")
         return pa.table({name: t.column("part").slice(0, 1), "dim": t.column("dim").slice(0, 1), f"{name}_ids": pa.array([ids.tobytes()], pa.binary()), f"{name}_m": pa.array([flat.tobytes()], pa.binary())})
 
-    part = F.pmod(F.xxhash64("id", F.col("v")), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.col("v"), F.spark_partition_id()), F.lit(parts)).cast("int")
     return rows.withColumn("part", part).groupBy("part", "dim").applyInArrow(build, f"{name} int, dim int, {name}_ids binary, {name}_m binary")
 
 
@@ -64,29 +70,34 @@ def _product(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.array([[max(-top - 1, min(top, x)) for x in row] for row in big], np.int64).reshape(len(q), len(m))
 
 
+def _matrix(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i2" if len(data) == 2 * rows * dim else "<f8").reshape(rows, dim).astype(np.float64)
+
+
 def _tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                qid, mid = np.frombuffer(row["block_ids"], "<i8"), np.frombuffer(row["shard_ids"], "<i8")
-                q, m = (np.frombuffer(row[c], "<f8").reshape(-1, row["dim"]) for c in ("block_m", "shard_m"))
+                all_qid, mid = np.frombuffer(row["block_ids"], "<i8"), np.frombuffer(row["shard_ids"], "<i8")
+                all_q, m = (_matrix(row[c + "_m"], len(row[c + "_ids"]) // 8, row["dim"]) for c in ("block", "shard"))
                 order = np.argsort(mid, kind="stable")  # then ties go to the smaller id by position
                 mid, m = mid[order], m[order]
-                score = _product(q, m)
-                own = qid[:, None] == mid[None, :]
-                none = np.iinfo(np.int64).min
-                score[own] = none
                 keep = min(k, len(mid))
-                # The k-th best score of each query by partial selection; all that reach it are sorted, ties by position.
-                edge = np.partition(score, len(mid) - keep, axis=1)[:, len(mid) - keep]
-                r, c = np.nonzero((score >= edge[:, None]) & ~own)
-                s = score[r, c]
-                o = np.lexsort((c, -s, r))
-                r, c, s = r[o], c[o], s[o]
-                first = np.searchsorted(r, np.arange(len(qid)))
-                kept = np.arange(len(r)) - first[r] < k
-                r, c, s = r[kept], c[kept], s[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(mid[c]), pa.array(s), pa.array(np.full(len(r), row["shard"], np.int32))], names=["query_id", "vec_id", "score", "shard"])
+                for a in range(0, len(all_qid), STRIP_ROWS):
+                    qid = all_qid[a : a + STRIP_ROWS]
+                    score = _product(all_q[a : a + STRIP_ROWS], m)
+                    own = qid[:, None] == mid[None, :]
+                    score[own] = np.iinfo(np.int64).min
+                    # The k-th best score of each query by partial selection; all that reach it are sorted, ties by position.
+                    edge = np.partition(score, len(mid) - keep, axis=1)[:, len(mid) - keep]
+                    r, c = np.nonzero((score >= edge[:, None]) & ~own)
+                    s = score[r, c]
+                    o = np.lexsort((c, -s, r))
+                    r, c, s = r[o], c[o], s[o]
+                    first = np.searchsorted(r, np.arange(len(qid)))
+                    kept = np.arange(len(r)) - first[r] < k
+                    r, c, s = r[kept], c[kept], s[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(mid[c]), pa.array(s), pa.array(np.full(len(r), row["shard"], np.int32))], names=["query_id", "vec_id", "score", "shard"])
 
     return run
 
@@ -96,18 +107,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, shard_rows: int
     bounded_batches(queries.sparkSession)
     shards = max(1, -(-candidates.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
-    left = _packed(queries.distinct(), blocks, "block")
+    left = _packed(queries.distinct(), blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = _packed(candidates, shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = right.join(left, ["block", "dim"]).repartition(max(1, min(shards * blocks, 100_000)), "block", "shard")
+    tiles = right.join(left.hint("shuffle_hash"), ["block", "shard", "dim"])
     lists = tiles.select("dim", "shard", "block_ids", "block_m", "shard_ids", "shard_m").mapInArrow(_tiles(k), "query_id long, vec_id long, score long, shard int")
 
     def best(rows: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
         return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    level = lists.withColumn("group", F.floor(F.col("shard") / FAN_IN))
-    if shards > FAN_IN:
-        level = best(level, "group")
+    level, left_over = lists.withColumnRenamed("shard", "group"), shards
+    while left_over > FAN_IN:
+        level = best(level.withColumn("group", F.floor(F.col("group") / FAN_IN)), "group").drop("rank")
+        left_over = -(-left_over // FAN_IN)
     return best(level).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
