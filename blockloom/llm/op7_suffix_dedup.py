@@ -12,9 +12,10 @@
 4. A mask of covered windows per surrounding travels back to the buckets, where bytes are removed and digested.
 
 No step grows faster than the input: copies add their own anchors and masks only, and no pairs are made.
-Null and short texts lose nothing.  Rows without id count as larger than all ids; rows of one id never remove from each
-other.  Repeated rows give repeated results, an empty table an empty result; extra columns are kept by ``remove_repeats``
-and ignored by the query.
+Null and short texts lose nothing.  Rows whose id is null or no integer count as larger than all ids; rows of one id never remove from each
+other.  Repeated rows give repeated results, an empty table an empty result; extra columns are kept by ``remove_repeats``,
+whatever their names, but for those that are named like the digests that are asked for.  A cut inside a character leaves
+bytes that are no text: they count in the digests and are dropped from the returned text.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from blockloom.llm.common import bounded_batches, release, stash, table, tidied, utf8
+from blockloom.llm.common import bounded_batches, quoted, release, remove, shared_dir, stash, table, text_or_empty, tidied, utf8
 
 LENGTH = 50
+DIGESTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 GRAM = 24
 BUCKET_BYTES = 8 << 20
 #: Text bytes whose anchors make one target, and whose shared surroundings make one shard.
@@ -268,8 +271,8 @@ def _targets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", column: str = "text", length: int = LENGTH, keep_text: bool = True, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """All columns of docs, the text without its repeats (with keep_text), and n_bytes, n_removed, n_spans, kept_sha256."""
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", column: str = "text", length: int = LENGTH, keep_text: bool = True, with_digests: bool = True, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """All columns of docs, the text without its repeats (with keep_text), and with_digests n_bytes, n_removed, n_spans, kept_sha256."""
     if length < GRAM + 8:
         raise ValueError(f"windows of fewer than {GRAM + 8} bytes are not supported")
     spark = docs.sparkSession
@@ -278,39 +281,43 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", column: str = "te
     buckets = max(1, -(-total // bucket_bytes))
     targets = max(1, min(buckets, -(-total // TARGET_BYTES)))
     shards = max(1, -(-total // shard_bytes))
-    kept_columns = [c for c in docs.columns if keep_text or c == id_column]
-    fields = docs.select(*kept_columns).schema
+    taken = set(DIGESTS) if with_digests else set()
+    kept_columns = [c for c in docs.columns if c.lower() not in taken and (keep_text or c == id_column)]
+    fields = docs.select(*[F.col(quoted(c)) for c in kept_columns]).schema
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        ids = t.column("_order").to_numpy()
-        text = t.column("_text")
+        ids = t.column("order").to_numpy()
+        text = t.column("text")
         data, offsets = utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) and text.num_chunks == 1 else pa.concat_arrays(text.chunks))
         sink = pa.BufferOutputStream()
-        rest = t.drop_columns(["_bucket", "_order", "_text"])
+        rest = t.drop_columns(["bucket", "order", "text"])
         with pa.ipc.new_stream(sink, rest.schema) as w:
             w.write_table(rest)
         put = zstandard.ZstdCompressor(_ZSTD).compress
-        return pa.table({"bucket": t.column("_bucket").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "offsets": pa.array([offsets.tobytes()], pa.binary()), "data": pa.array([put(data.tobytes())], pa.binary()), "rest": pa.array([put(sink.getvalue().to_pybytes())], pa.binary())})
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "offsets": pa.array([offsets.tobytes()], pa.binary()), "data": pa.array([put(data.tobytes())], pa.binary()), "rest": pa.array([put(sink.getvalue().to_pybytes())], pa.binary())})
 
-    # Random buckets: neither an id nor a text that many rows share makes one large.
+    # Buckets by id, text and input partition: neither an id nor a text that many rows share makes one large, and a
+    # recomputed task deals its rows alike, in whatever order it meets them.
     dealt = docs.select(
-        *[F.col(c) for c in kept_columns if c != column],
-        F.floor(F.rand(11) * buckets).cast("int").alias("_bucket"),
-        F.coalesce(F.col(id_column).cast("long"), F.lit(_LATE)).alias("_order"),
-        F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8").alias("_text"),
+        *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept_columns) if c != column],
+        F.pmod(F.xxhash64(id_column, column, F.spark_partition_id()), F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce(F.col(id_column).try_cast("long"), F.lit(_LATE)).alias("order"),
+        F.encode(text_or_empty(column), "UTF-8").alias("text"),
     )
     name = f"blockloom_{uuid.uuid4().hex}"
-    packed = dealt.groupBy("_bucket").applyInArrow(pack, "bucket int, ids binary, offsets binary, data binary, rest binary")
-    packed.write.bucketBy(int(min(buckets, 4096)), "bucket").option("compression", "none").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    packed = dealt.groupBy("bucket").applyInArrow(pack, "bucket int, ids binary, offsets binary, data binary, rest binary")
+    packed.write.bucketBy(int(min(buckets, 4096)), "bucket").option("compression", "none").option("path", path).saveAsTable(name)
     texts = spark.table(name)
     try:
-        return _removed(texts, fields, targets, shards, length, part_bytes, id_column, column, keep_text)
+        return _removed(texts, fields, targets, shards, length, part_bytes, column, with_digests)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
 
 
-def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, part_bytes: int, id_column: str, column: str, keep_text: bool) -> DataFrame:
+def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, part_bytes: int, column: str, with_digests: bool) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             data, offsets, _ = _unpack(row)
@@ -412,7 +419,7 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
     masks = around.groupBy("shard").applyInArrow(compare, "bucket int, starts binary, masks binary")
     masks = masks.groupBy("bucket").agg(F.collect_list(F.struct("starts", "masks")).alias("masks"))
 
-    plain = [f.name for f in fields if f.name != column or not keep_text]
+    keep_text = column in fields.names
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = zstandard.ZstdDecompressor().decompress
@@ -439,15 +446,16 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
                 if keep_text:
                     kept.append(left.decode("utf-8", "ignore"))  # a cut inside a character drops its remains
             rest = pa.ipc.open_stream(get(row["rest"])).read_all().combine_chunks()
-            columns = {name: rest.column(name) for name in plain}
-            if keep_text:
-                columns[column] = pa.array(kept, pa.string())
-            columns |= {"n_bytes": pa.array(n), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-            order = [f.name for f in fields] + ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield from pa.table({name: columns[name] for name in order}).to_batches(max_chunksize=2000)
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return stash(texts.join(masks, "bucket", "left").mapInArrow(tidied(finish), ddl))
+            columns = {f"c{i}": pa.array(kept, pa.string()) if f.name == column else rest.column(f"c{i}") for i, f in enumerate(fields)}
+            if with_digests:
+                columns |= {"n_bytes": pa.array(n), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+            yield from pa.table(columns).to_batches(max_chunksize=2000)
+
+    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    outer = [f.name for f in fields]
+    for name, kind in DIGESTS.items() if with_digests else ():
+        inner, outer = inner.add(name, kind), [*outer, name]
+    return stash(texts.join(masks, "bucket", "left").mapInArrow(tidied(finish), inner)).toDF(*outer)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
