@@ -5,7 +5,8 @@ LZW or deflate, strips or tiles, and the horizontal predictor, giving one page p
 such files.  ``tiff_pages`` is the DataFrame operator: a binary column in, one row per page out.
 
 The compressed formats are framed so that each strip or tile is decoded alone, so memory is bounded by a page.
-Null or broken media give one row with page -1 and the reason in ``error``; an empty table gives an empty result.
+Null or broken media give one row with page -1 and the reason in ``error``, after the pages that could be read; an empty
+table gives an empty result.
 In the registered query, null texts count as empty, repeated texts give equal values, and extra columns
 of the input are ignored.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, table, tidied
+from blockloom.llm.common import bounded_batches, quoted, table, tidied
 
 WIDTH = 192
 ROWS_PER_STRIP = 256
@@ -260,7 +261,7 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
     tags = {}
     for i in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if kind not in TYPES:
+        if kind not in TYPES or not count:
             continue
         form = f"{order}{count}{TYPES[kind]}"
         if count > len(data):
@@ -278,7 +279,7 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, most_bytes:
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     w, h, samples = one(TAG_WIDTH), one(TAG_LENGTH), one(TAG_SAMPLES, 1)
     bits, compression, predictor = one(TAG_BITS, 1), one(TAG_COMPRESSION, 1), one(TAG_PREDICTOR, 1)
-    if not w or not h or bits not in (8, 16) or len(set(tags.get(TAG_BITS, (bits,)))) > 1:
+    if not w or not h or min(w, h, samples) < 1 or bits not in (8, 16) or len(set(tags.get(TAG_BITS, (bits,)))) > 1:
         raise TiffError("only pages of 8- or 16-bit samples are read")
     if predictor not in (1, 2) or one(TAG_PLANAR, 1) != 1:
         raise TiffError("predictor or planar layout not read")
@@ -292,14 +293,16 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, most_bytes:
         tw, th = one(TAG_TILE_WIDTH, 0), one(TAG_TILE_LENGTH, 0)
     else:
         tw, th = w, min(one(TAG_ROWS_PER_STRIP, h), h)
-    if not tw or not th:
+    if not tw or not th or min(tw, th) < 1:
         raise TiffError("no strip or tile size")
+    if tw * th * samples * unit > most_bytes:
+        raise TiffError("tile larger than the allowed size")
     across, down = -(-w // tw), -(-h // th)
     if len(offsets) != across * down or len(counts) != len(offsets):
         raise TiffError("wrong number of strips or tiles")
     out = np.empty((h, w, samples), kind)
     for i, (a, n) in enumerate(zip(offsets, counts, strict=True)):
-        if a + n > len(data):
+        if min(a, n) < 0 or a + n > len(data):
             raise TiffError("strip or tile beyond the end")
         r, c = i // across * th, i % across * tw
         rows = th if tiled else min(th, h - r)
@@ -337,7 +340,7 @@ def tiff_pages(media: DataFrame, column: str = "media", id_column: str = "id") -
     bounded_batches(media.sparkSession)
     src = media.select(id_column, column)
     names = [x.split()[0] for x in PAGES.split(", ")]
-    ddl = f"`{id_column}` {src.schema[0].dataType.simpleString()}, {PAGES}"
+    ddl = f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, {PAGES}"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
@@ -350,8 +353,8 @@ def tiff_pages(media: DataFrame, column: str = "media", id_column: str = "id") -
                     for p in decode(data):
                         rows.append((k, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None))
                         k += 1
-                except TiffError as e:
-                    rows.append((-1, None, None, None, None, None, None, None, None, str(e)))
+                except (TiffError, struct.error, ValueError, IndexError, OverflowError, MemoryError) as e:  # whatever a hostile file brings up
+                    rows.append((-1, None, None, None, None, None, None, None, None, str(e) or type(e).__name__))
                 ids = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [ids] + [pa.array([], t) for t in types], names=[id_column, *names])
 
@@ -399,7 +402,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", column: str = "text") ->
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[id_column, *names])
 
-    return src.mapInArrow(tidied(run), f"`{id_column}` {src.schema[0].dataType.simpleString()}, {DIGESTS}")
+    return src.mapInArrow(tidied(run), f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, {DIGESTS}")
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
