@@ -13,7 +13,8 @@ segmentations: exactly a sample without replacement.  The inclusion score of a s
 P(Gumbel(log p(y)) > kappa), where kappa is the next value after the last one emitted.
 
 All randomness is hashed from the row key, the sample's number and the place in the text, so results do not depend on
-batches, partitions or retries.  Null texts count as empty; an empty text has one empty segmentation.  Texts with fewer than k
+batches, partitions or retries.  Null texts count as empty; an empty text has one empty segmentation.  Very long texts are
+sampled whole; a long run without blanks is one chunk and costs a few microseconds a byte.  Texts with fewer than k
 segmentations give them all, with inclusion score 0.  Repeated rows give repeated results; a null key counts as
 0; an empty table gives an empty result; extra columns are ignored.
 """
@@ -21,6 +22,7 @@ segmentations give them all, with inclusion score 0.  Repeated rows give repeate
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -30,15 +32,18 @@ from itertools import count
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import bounded_batches, table, tidied
+from blockloom.llm.common import bounded_batches, quoted, table, tidied
 
 MODEL = "piece_bpe_32k.model"
 K = 3
 SHARPNESS = 1.0
-SLICE_CHARS = 8 << 20
+SLICE_CHARS = 6 << 20
+#: A longer chunk is walked byte by byte in plain Python, since few others go on beside it; a chunk's length alone decides.
+LONG_CHUNK = 512
 _CHUNK = re.compile(rb"\n| *[^ \n]+| +")
 _SPACE = "▁"
 
@@ -182,7 +187,9 @@ class Lattice:
         order = np.argsort(togo.astype(np.uint16) if most < 1 << 16 else togo, kind="stable")
         beta = np.full(n + 1, -np.inf)
         value = v.weight[self.piece]
-        bounds = np.searchsorted(togo[order], np.arange(1, most + 2))
+        sizes = np.repeat(lengths, lengths)[self.begin]
+        order = order[sizes[order] <= LONG_CHUNK]
+        bounds = np.searchsorted(togo[order], np.arange(1, min(most, LONG_CHUNK) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if a == b:
                 continue
@@ -194,7 +201,9 @@ class Lattice:
             safe = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
                 beta[s[heads]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, self.count[s[heads]])), heads))
-        del order, togo, end, limit, bounds
+        for chunk in np.flatnonzero(lengths > LONG_CHUNK).tolist():
+            self._sum_back(int(self.starts[chunk]), int(self.ends[chunk]), value, beta)
+        del order, togo, end, limit, bounds, sizes
         self.logp = value + np.where(last, 0.0, beta[self.stop]) - beta[self.begin]
         del value, last, beta
         self.logp[~np.isfinite(self.logp)] = -np.inf
@@ -209,6 +218,20 @@ class Lattice:
         self.within /= np.repeat(np.maximum(self.within[heads + size - 1], 1e-300), size)
         self.within[heads + size - 1] = 1.0
 
+    def _sum_back(self, start: int, end: int, value: np.ndarray, beta: np.ndarray) -> None:
+        """Backward sums of one long chunk, from its end on."""
+        a, b = int(self.first[start]), int(self.first[end - 1] + self.count[end - 1])
+        stop, weight = (self.stop[a:b] - start).tolist(), value[a:b].tolist()
+        first, count_ = (self.first[start:end] - a).tolist(), self.count[start:end].tolist()
+        sums = [-math.inf] * (end - start) + [0.0]
+        for i in range(end - start - 1, -1, -1):
+            k = first[i]
+            x = [weight[j] + sums[stop[j]] for j in range(k, k + count_[i])]
+            top = max(x, default=-math.inf)
+            if top > -math.inf:
+                sums[i] = top + math.log(sum(math.exp(y - top) for y in x))
+        beta[start:end] = sums[:-1]
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An arc from each node, by its probability."""
         at = self.first[node]
@@ -246,14 +269,16 @@ def _uniform_one(key: int, stream: int, place: int) -> float:
 
 
 def row_key(value) -> int:
-    return zlib.crc32(str(value).encode()) * 0x9E3779B97F4A7C15 & (2**64 - 1) if value is not None else 0
+    return xxhash.xxh64_intdigest(str(value).encode("utf-8", "surrogatepass")) if value is not None else 0
 
 
 def _paths(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, place: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
     """Complete paths from nodes to their chunks' ends: (number of arcs of each, all arcs in order)."""
-    who = np.arange(len(node))
     steps, arcs, depth = [], [], 0
-    at, key, place, end = node.copy(), key, place, end
+    long = end - node > LONG_CHUNK
+    walked = [(i, _walk(lat, int(node[i]), int(end[i]), int(key[i]), int(place[i]), stream)) for i in np.flatnonzero(long).tolist()]
+    who = np.flatnonzero(~long)
+    at, key, place, end = node[who], key[who], place[who], end[who]
     while len(who):
         arc = lat.draw(at, uniform(key, stream, place + depth))
         steps.append(who)
@@ -262,18 +287,39 @@ def _paths(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, pla
         go = at < end
         who, at, key, place, end = who[go], at[go], key[go], place[go], end[go]
         depth += 1
-    if not steps:
-        return np.zeros(len(node), np.int64), np.zeros(0, np.int64)
     count = np.zeros(len(node), np.int64)
     for s in steps:
         count[s] += 1
+    for i, path in walked:
+        count[i] = len(path)
     offset = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int64)
     for d, (s, a) in enumerate(zip(steps, arcs, strict=True)):
         out[offset[s] + d] = a
+    for i, path in walked:
+        out[offset[i] : offset[i] + len(path)] = path
     return count, out
 
 
+def _walk(lat: Lattice, node: int, end: int, key: int, place: int, stream: int) -> list[int]:
+    """The path of one long chunk: the same draws, by plain Python on the random numbers of all its steps."""
+    low = int(lat.first[node])
+    high = int(lat.first[end - 1] + lat.count[end - 1])
+    first, stop, within = (lat.first[node:end] - low).tolist(), (lat.stop[low:high] - node).tolist(), lat.within[low:high].tolist()
+    at, step, path, size = 0, 0, [], end - node
+    draws: list[float] = []
+    while at < size:
+        if step == len(draws):
+            more = np.arange(place + step, place + step + 4096)
+            draws += uniform(np.full(len(more), key, np.uint64), stream, more).tolist()
+        arc = first[at]
+        while within[arc] <= draws[step]:
+            arc += 1
+        path.append(low + arc)
+        at, step = stop[arc], step + 1
+    return path
+
+
 def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list[list[tuple[np.ndarray, float, float]]]:
     """Per text up to k distinct segmentations: (piece ids, log probability, log inclusion), from the best perturbed value on."""
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
@@ -400,7 +446,7 @@ def sampled(docs: DataFrame, k: int = K, model: str | None = None, sharpness: fl
     bounded_batches(docs.sparkSession)
     path = model or public_tokenizers.path(MODEL)
     src = docs.select(id_column, column)
-    ddl = f"`{id_column}` {src.schema[0].dataType.simpleString()}, sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double" + (", ids array<int>" if keep_ids else "")
+    ddl = f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blockloom.llm import tokens
