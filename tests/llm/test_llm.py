@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import public_tokenizers  # noqa: E402
 
-from blockloom.llm import common, components, op1_simhash, op2_packing, op3_token_counts, op4_toxicity, op5_quality, op6_topk, op7_suffix_dedup, op8_tiff, op9_url_filter, op10_sentencepiece, registry  # noqa: E402
+from blockloom.llm import common, components, op1_simhash, op2_packing, op3_token_counts, op4_toxicity, op5_quality, op6_topk, op7_suffix_dedup, op8_tiff, op9_url_filter, op10_sentencepiece, registry, tokens  # noqa: E402
 
 WORDS = "the of and to in a is that for it was on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part".split()
 
@@ -44,13 +45,14 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
+CLASHES = "score cut fp node u v part piece length bucket order path host words n_tokens n_bytes n_removed n_spans kept_sha256 c0 _bucket _order _text its_id its_node rest first kept root n component_id label sequence_id offset start page error".split()
+
+
 @pytest.fixture(scope="module")
 def odd(spark, rows):
-    """Repeated rows, a null id, and columns whose names clash with the operators' own."""
+    """Repeated rows, null ids, and columns whose names clash with the operators' own and their outputs'."""
     df = spark.createDataFrame([*rows[:20], rows[3], (None, rows[4][1], None, None, None), (None, None, None, None, None)], SCHEMA)
-    for c in ("score", "cut", "fp", "node", "u", "v", "part", "piece", "length", "bucket", "path", "host", "words"):
-        df = df.withColumn(c, F.lit("clash"))
-    return df
+    return df.withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 def test_registry():
@@ -196,6 +198,31 @@ def test_links_between_nodes_that_no_centre_is_near(spark, monkeypatch, blocks):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def jaccard_classes(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    return classes(list(range(len(texts))), lambda i, j: (texts[i] or "") == (texts[j] or "") or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0)
+
+
+def test_repeated_ids_lose_only_the_texts_that_go(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, b), (None, "x y z"), (None, "x y z"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, op1_simhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "x y z"), (4, None)], key=str)
+
+
+def test_short_words_are_compared(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(30):
+        short = " ".join("".join(rng.choice(list("abcdef"), 2)) for _ in range(60))
+        texts += [short, f"{short} tail", f"{short} else"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op1_simhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_classes(texts)
+    assert set(got.values()) == set(range(0, 90, 3))
+
+
 # --- 2, 3 ---
 
 
@@ -243,6 +270,49 @@ def test_sum_of_squares():
     assert op2_packing.cut_lengths(4096, 2048) == [(0, 2048), (2048, 2048)]
 
 
+def naive_sum_of_squares(lengths, capacity):
+    """Every level and its whole sum of squares; the fullest of the best."""
+    bins, fill = [], []
+    for s in lengths:
+        options = {}
+        for b, h in enumerate(fill):
+            if h < capacity and h + s <= capacity and h not in options:
+                after = [x + s if i == b else x for i, x in enumerate(fill)]
+                open_ = [x for x in after if x < capacity]
+                options[h] = (sum(open_.count(x) ** 2 for x in set(open_)), -h)
+        if options:
+            h = min(options, key=options.get)
+            b = max(i for i, x in enumerate(fill) if x == h)
+            fill[b] += s
+        else:
+            b = len(fill)
+            fill.append(s)
+        bins.append(h + s if options else s)
+    return sorted(fill), bins
+
+
+def test_sum_of_squares_is_naive_ones():
+    rng = np.random.default_rng(8)
+    for capacity in (10, 37):
+        for _ in range(10):
+            lengths = rng.integers(1, capacity + 1, 60)
+            bins, offsets = op2_packing.sum_of_squares(lengths, capacity)
+            fill, levels = naive_sum_of_squares(lengths.tolist(), capacity)
+            assert sorted(np.bincount(bins, lengths).astype(int).tolist()) == fill
+            assert (offsets + lengths).tolist() == levels
+
+
+def test_frequent_lengths_table():
+    rng = np.random.default_rng(3)
+    words = list({"".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(1, 9, 3000)}) + ["überlänge", "x" * 16, "y" * 17]
+    table = tokens.FrequentLengths(words[::2], [1 + len(w) % 9 for w in words[::2]])
+    found = {}
+    rest = table.look_up(words, found)
+    assert found == {w: 1 + len(w) % 9 for w in words[::2] if len(w.encode()) <= 16}
+    assert sorted(rest + list(found)) == sorted(words)
+    assert tokens.FrequentLengths([], []).look_up(["a"], {}) == ["a"]
+
+
 def test_token_counts(docs, rows, library):
     got = {r["doc_id"]: r["n_tokens"] for r in op3_token_counts.count_tokens(docs, table_size=50).collect()}
     assert got == {i: len(library["word_bpe_49k.json"].encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows}
@@ -284,6 +354,49 @@ def test_classifiers_learn(spark):
     assert net.logits(*junk_at_the_end)[0] < net.logits(*op5_quality.flat(["the of and to in a " * 3000]))[0]
 
 
+def test_toxicity_is_the_naive_convolution():
+    """Filters slid by hand over the words' embeddings, their maxima through the logistic layer."""
+    rng = np.random.default_rng(5)
+    texts = [prose(rng, 30) + (" vile thing" if i % 3 == 0 else "") for i in range(200)]
+    model = op4_toxicity.fit(pa.table({"text": texts, "label": pa.array([int(i % 3 == 0) for i in range(200)], pa.int32())}))
+    net = model.net
+
+    def naive(text):
+        ids = [next((model.rows[k] for k in op4_toxicity.keys(w) if k in model.rows), 0) for w in op4_toxicity.words(text)] or [0]
+        x = np.array([net.p["e"][i] for i in ids] + [net.p["e"][0]] * (max(net.widths) - 1), np.float64)
+        h = []
+        for w in net.widths:
+            for f in range(net.filters):
+                h.append(max(sum(float(x[t + o] @ net.p[f"w{w}"][o][:, f]) for o in range(w)) for t in range(len(ids))) + float(net.p[f"b{w}"][f]))
+        z = sum(max(0.0, a) * float(v) for a, v in zip(h, net.p["v"], strict=True)) + float(net.p["c"][0])
+        return 1 / (1 + np.exp(-np.clip(model.scale * (z - model.shift) + np.log(0.7 / 0.3), -30, 30)))
+
+    some = [*texts[:5], "", "vile", "the vilest vile", "?!"]
+    assert np.allclose(model.scorer()(some), [naive(t) for t in some], atol=1e-4)
+
+
+def test_quality_is_the_naive_convolution():
+    rng = np.random.default_rng(5)
+    texts = [prose(rng, 30) if i % 2 else "$$ %% " * int(rng.integers(3, 40)) for i in range(80)]
+    model = op5_quality.fit(pa.table({"text": texts, "label": pa.array([i % 2 for i in range(80)], pa.int32())}))
+    p = model.net.p
+
+    def naive(text):
+        data = text.encode()
+        step = op5_quality.CHUNK - op5_quality.OVERLAP
+        chunks = [data[a : a + op5_quality.CHUNK].ljust(op5_quality.CHUNK, b"\0") for a in range(0, max(1, len(data) - op5_quality.OVERLAP), step)]
+        units = []
+        for c in chunks:
+            x = p["e"][list(c)]
+            pooled = [max(float(x[t : t + op5_quality.WIDTH].ravel() @ p["w"][:, f]) for t in range(0, op5_quality.CHUNK - op5_quality.WIDTH + 1, op5_quality.STRIDE)) + float(p["b"][f]) for f in range(op5_quality.FILTERS)]
+            units.append(np.maximum(np.maximum(pooled, 0) @ p["h"] + p["d"], 0))
+        z = float(np.concatenate([np.max(units, axis=0), np.mean(units, axis=0)]) @ p["v"] + p["c"][0])
+        return 1 / (1 + np.exp(-np.clip(model.scale * (z - model.shift) + np.log(0.3 / 0.7), -30, 30)))
+
+    some = [texts[0], texts[1], "", "x", prose(rng, 400), "é" * 300]
+    assert np.allclose(model.probability(model.logits(*op5_quality.flat(some))), [naive(t) for t in some], atol=1e-3)
+
+
 def test_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert op4_toxicity.train(docs, none, op4_toxicity.learns) is None
@@ -401,9 +514,15 @@ def test_tiff_pages(spark, docs, rows):
     media = [(1, good), (2, None), (3, b"II*\0"), (4, good[:-20]), (5, b""), (6, b"MM\0*\0\0\0\xff")]
     ring[-4:] = ring[4:8]
     media.append((7, bytes(ring)))
+    hostile = [bytearray(op8_tiff.encode([np.zeros((3, 4), np.uint8)])) for _ in range(3)]
+    at = int.from_bytes(hostile[0][4:8], "little") + 2
+    hostile[0][at + 4 : at + 8] = bytes(4)  # a field without values
+    hostile[1][at + 2 : at + 4], hostile[1][at + 8 : at + 12] = (9).to_bytes(2, "little"), (-5).to_bytes(4, "little", signed=True)  # a negative width
+    hostile[2][at + 8 : at + 12] = (2**31).to_bytes(4, "little")
+    media += [(8 + i, bytes(x)) for i, x in enumerate(hostile)]
     got = op8_tiff.tiff_pages(spark.createDataFrame(media, "id long, media binary")).collect()
     assert [(r["page"], r["width"], r["height"], r["samples"]) for r in got if r["id"] == 1] == [(0, 4, 3, 1), (1, 2, 2, 3)]
-    assert {r["id"] for r in got if r["error"]} == {2, 3, 4, 5, 6, 7}
+    assert {r["id"] for r in got if r["error"]} == set(range(2, 11))
     for r in op8_tiff.digests(docs).collect():
         data = (rows[r["doc_id"]][1] or "").encode()
         full = data + b" " * (-len(data) % 192 or (0 if data else 192))
@@ -432,6 +551,18 @@ def test_templates_generalise_and_reject(spark):
     assert got["/de/x5/a"]["verdict"] == "block" and got["/en/7"]["verdict"] == "allow"
 
 
+def test_templates_of_any_depth(spark):
+    """Branches that differ from the sixth segment on only, alike siblings that become one branch, and a path without end."""
+    deep = "http://h.com/a/b/c/d/e"
+    urls = [f"{deep}/{s}/x{i}" for s in ("bad1", "bad2", "good") for i in range(30)] + ["http://h.com" + "/z" * 300, "http://h.com" + "/z" * 299]
+    rules = (("block", "h.com/a/b/c/d/e/bad1/x1"), ("block", "h.com/a/b/c/d/e/bad2/x1"), ("allow", "h.com/a/b/c/d/e/good/x1"))
+    got = {r["path"]: r for r in op9_url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert len(got) == len(urls)
+    assert {got[f"/a/b/c/d/e/{s}/x{i}"]["verdict"] for s in ("bad1", "bad2") for i in (5, 25)} == {"block"}
+    assert got["/a/b/c/d/e/good/x5"]["verdict"] == "allow"
+    assert got["/a/b/c/d/e/bad1/x5"]["template"] == got["/a/b/c/d/e/bad2/x9"]["template"] == "h.com/a/b/c/d/e/bad1|bad2/*"
+
+
 def test_urls_stay_native(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.com/fr/1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     plan = op9_url_filter.op9_url_filter(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
@@ -473,6 +604,16 @@ def test_sampling_is_exact(vocabulary):
     assert abs(np.mean([sum(np.exp(lp - inc) for _, lp, inc in r) for r in got]) - 1) < 0.01  # inclusion scores weigh samples without bias
 
 
+def test_long_runs_are_sampled_like_others(vocabulary, monkeypatch):
+    texts = ["ab" * 400, "the of and " * 5 + "zyx" * 300, "日本語" * 300]
+    keys = [op10_sentencepiece.row_key(i) for i in range(3)]
+    walked = op10_sentencepiece.sample(vocabulary, texts, keys, 3)
+    monkeypatch.setattr(op10_sentencepiece, "LONG_CHUNK", 1 << 30)
+    for a, b in zip(walked, op10_sentencepiece.sample(vocabulary, texts, keys, 3), strict=True):
+        assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
+        assert np.allclose([x[1:] for x in a], [x[1:] for x in b], rtol=1e-9)
+
+
 def test_few_segmentations(vocabulary):
     n = len(list(segmentations(vocabulary, b" of")))
     (got,) = op10_sentencepiece.sample(vocabulary, ["of"], [1], n + 5)
@@ -505,20 +646,54 @@ OPERATORS = {
     "near": op1_simhash.drop_near_duplicates,
     "packing": op2_packing.pack_documents,
     "tokens": op3_token_counts.count_tokens,
-    "toxicity": lambda d: op4_toxicity.score(d.drop("score", "cut"), None),
-    "quality": lambda d: op5_quality.score(d.drop("score"), None),
+    "toxicity": lambda d: op4_toxicity.score(d, op4_toxicity.fit(SAMPLE)),
+    "quality": lambda d: op5_quality.score(d, op5_quality.fit(SAMPLE)),
+    "topk": lambda d: op6_topk.top_k(*[op6_topk.quantise(d.withColumn("embedding", F.array(F.length("text").cast("double"))).where("doc_id is not null and text is not null"), "doc_id")] * 2, k=1),
     "repeats": op7_suffix_dedup.remove_repeats,
+    "repeats alone": lambda d: op7_suffix_dedup.remove_repeats(d, with_digests=False),
     "tiff": op8_tiff.digests,
+    "pages": lambda d: op8_tiff.tiff_pages(d, "text", "doc_id"),
+    "urls": lambda d: op9_url_filter.judge(d, id_column="doc_id", url="text"),
     "sampled": op10_sentencepiece.sampled,
+    "encoded": op10_sentencepiece.encoded,
 }
+KEEPING = {"near", "tokens", "toxicity", "quality", "repeats", "repeats alone"}
+SAMPLE = pa.table({"text": ["good words here"] * 20 + ["bad $$ junk"] * 20, "label": pa.array([1] * 20 + [0] * 20, pa.int32())})
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_and_empty_tables(odd, name):
-    n = OPERATORS[name](odd).count()
-    assert n >= (19 if name == "near" else odd.count())
+    got = OPERATORS[name](odd)
+    n = got.count()
+    assert n >= {"near": 19, "topk": 19}.get(name, odd.count())
+    if name in KEEPING:
+        assert set(odd.columns) <= set(got.columns)
+        made = {"tokens": {"n_tokens"}, "toxicity": {"score", "cut"}, "quality": {"score"}, "repeats": set(op7_suffix_dedup.DIGESTS)}.get(name, set())
+        assert {tuple(r) for r in got.select(*[c for c in CLASHES if c not in made]).distinct().collect()} == {("clash",) * (len(CLASHES) - len(made))}
     assert OPERATORS[name](odd.limit(0)).count() == 0
 
 
+def test_names_that_need_quotes(spark):
+    df = spark.createDataFrame([(1, "some words to count"), (2, "http://a.org/x")], "`doc id` long, `the text` string")
+    how = {"id_column": "doc id", "column": "the text"}
+    for f in (op1_simhash.components, op1_simhash.drop_near_duplicates, op2_packing.pack_documents, op8_tiff.digests, op10_sentencepiece.sampled, op10_sentencepiece.encoded):
+        assert f(df, **how).select("doc id").distinct().count() == 2
+    assert op7_suffix_dedup.remove_repeats(df, **how).columns[:2] == ["doc id", "the text"]
+    assert {r["host"] for r in op9_url_filter.judge(df, id_column="doc id", url="the text").collect()} == {"", "a.org"}
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.range(300).select(F.lit(5).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(5, 1)], "doc_id int, toxic int")
+    assert common.labelled_sample(docs, labels, "toxic", lambda key: F.lit(True), 7).num_rows == 7
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
+    named = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    got = {r["id"]: r["low"] for r in common.join_spread(rows, named, ["k"], "n", 3000).collect()}
+    assert got == {i: (0 if i < 1500 else i) for i in range(3000)}
+
+
 def test_shared_folder_is_used(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
