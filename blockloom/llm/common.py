@@ -39,10 +39,11 @@ def stash(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Hand memory that the C library holds back to the system.
+    """Hand memory that Arrow and the C library hold back to the system.
 
-    Python workers live on for later tasks and stages, and their arrays come and go at sizes that the C library keeps.
+    Python workers live on for later tasks and stages, as the driver does, and their arrays come and go at sizes that these keep.
     """
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
@@ -102,18 +103,20 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: A key with more than this share of all rows is hot; there can be at most 1 / HOT_SHARE such keys.
-HOT_SHARE = 0.001
+#: A key with more than this share of all rows, and so many, is hot; there can be at most 1 / HOT_SHARE such keys.
+HOT_SHARE, HOT_ROWS = 0.001, 1000
 
 
 def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """Inner join of rows with ``named``, which has one row per key and in ``n`` how many of the ``total`` rows have it.
 
     Hot keys, at most 1,000 by their definition, are broadcast, so their rows stay where they are; no other key
-    has more than a thousandth of the rows, so no task of the shuffled join is large.  Both inputs are read twice.
+    has more than a thousandth of the rows, so no task of the shuffled join is large.  With hot keys rows are read twice.
     """
-    least = total * HOT_SHARE
-    hot = named.where(F.col(n) > least)
+    least = max(total * HOT_SHARE, HOT_ROWS)
+    if total <= least:
+        return rows.join(named.drop(n), keys)
+    hot = cut(named.where(F.col(n) > least))  # written, so that the plans below stay short
     if not hot.take(1):
         return rows.join(named.drop(n), keys)
     met = rows.join(F.broadcast(hot.drop(n)), keys)

@@ -278,7 +278,10 @@ def fit(sample: pa.Table, column: str = "text", language: str = "lang", seed: in
 
 def train(docs: DataFrame, labels: DataFrame, learn_if, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     also = ("lang",) if "lang" in docs.columns else ()
-    return fit(labelled_sample(docs, labels, label, learn_if, sample_rows, also=also))
+    try:
+        return fit(labelled_sample(docs, labels, label, learn_if, sample_rows, also=also))
+    finally:
+        release()
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "text", out: tuple[str, str] = ("score", "cut")) -> DataFrame:

@@ -184,7 +184,10 @@ def fit(sample: pa.Table, column: str = "text", seed: int = 0) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_if, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    return fit(labelled_sample(docs, labels, label, learn_if, sample_rows))
+    try:
+        return fit(labelled_sample(docs, labels, label, learn_if, sample_rows))
+    finally:
+        release()
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "text", out: str = "score") -> DataFrame:
