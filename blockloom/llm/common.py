@@ -107,13 +107,13 @@ def remove(spark: SparkSession, path: str) -> None:
 HOT_SHARE, HOT_ROWS = 0.001, 1000
 
 
-def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], n: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of rows with ``named``, which has one row per key and in ``n`` how many of the ``total`` rows have it.
 
     Hot keys, at most 1,000 by their definition, are broadcast, so their rows stay where they are; no other key
     has more than a thousandth of the rows, so no task of the shuffled join is large.  With hot keys rows are read twice.
     """
-    least = max(total * HOT_SHARE, HOT_ROWS)
+    least = max(total * HOT_SHARE, hot_rows)
     if total <= least:
         return rows.join(named.drop(n), keys)
     hot = cut(named.where(F.col(n) > least))  # written, so that the plans below stay short

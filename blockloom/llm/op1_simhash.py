@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.common import bounded_batches, cut, fresh, join_spread, quoted, stash, table, text_or_empty, tidied
-from blockloom.llm.components import connected_components
+from blockloom.llm.components import HOT_EDGES, connected_components
 
 SHINGLE = 3
 RADIUS = 3
@@ -214,10 +214,8 @@ def _multipliers() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (NEAR_BANDS * NEAR_ROWS, 1), np.uint64) | np.uint64(1)
 
 
-def near_bands(text: bytes, size: int = NEAR_SHINGLE, multipliers: np.ndarray | None = None) -> np.ndarray:
-    """NEAR_BANDS keys, each of the NEAR_ROWS smallest hashes of the text's word shingles; all texts without words agree."""
-    by = _multipliers() if multipliers is None else multipliers
-    h = shingle_hashes(text, size)
+def near_bands(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """NEAR_BANDS keys, each of the NEAR_ROWS smallest of the shingles' hashes, multiplied; all texts without words agree."""
     low = np.full(len(by), 2**64 - 1, np.uint64)
     for at in range(0, len(h), 512):
         low = np.minimum(low, (h[None, at : at + 512] * by).min(axis=1))
@@ -239,15 +237,18 @@ def text_node(column: str):
 
 
 def _sketches(docs: DataFrame, id_column: str, column: str, size: int) -> DataFrame:
+    """(id, node, size: how many distinct shingles, bands)."""
     src = docs.select(id_column, column, text_node(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _multipliers()
         for batch in batches:
-            bands = pa.array([near_bands((x or "").encode("utf-8", "surrogatepass"), size, by) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), bands], names=[id_column, "node", "bands"])
+            sets = [shingle_set((x or "").encode("utf-8", "surrogatepass"), size) for x in batch.column(1).to_pylist()]
+            bands = pa.array([near_bands(h, by) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(h) for h in sets], pa.int64()), bands], names=["id", "node", "size", "bands"])
 
-    return src.mapInArrow(tidied(run), f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, node long, bands array<long>")
+    named = src.mapInArrow(tidied(run), f"id {src.schema[0].dataType.simpleString()}, node long, size long, bands array<long>")
+    return named.withColumnRenamed("id", id_column)
 
 
 def _similar(similarity: float):
@@ -339,13 +340,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     """
     bounded_batches(docs.sparkSession)
     marked = stash(_sketches(docs, id_column, column, size))
-    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("bands").alias("bands"), F.count("*").alias("n")))
+    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.count("*").alias("n")))
     w = Window.partitionBy("key")
     # In a band's group: how many it has, and the smallest node.
-    met = nodes.select("node", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(w)).withColumn("low", F.min("node").over(w))
-    met = cut(met.where("n > 1"))
-    pairs = cut(met.where("node <> low").groupBy("node", F.col("low").alias("centre")).agg(F.count("*").alias("n")))
-    wanted = cut(pairs.select("node").union(pairs.select("centre")).distinct().join(nodes, "node").select("node", "first"))
+    met = nodes.select("node", "size", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(w)).withColumn("low", F.min(F.struct("node", "size")).over(w))
+    met = cut(met.where("n > 1").select("key", "node", "size", "n", F.col("low.node").alias("centre"), F.col("low.size").alias("centre_size")))
+    fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity  # noqa: E731  no smaller set can be so similar to a larger one
+    pairs = cut(met.where("node <> centre").where(fits("size", "centre_size")).groupBy("node", "centre").agg(F.count("*").alias("n")))
+    # The ends of all pairs that may be compared: those of larger groups may be compared with each other, too.
+    ends = pairs.select("node").union(pairs.select("centre")).union(met.where("n > 2").select("node"))
+    wanted = cut(ends.distinct().join(nodes, "node").select("node", "first"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,31 +361,29 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     named = docs.select(F.col(id_column).alias("first"), F.col(column).alias("text"), text_node(column).alias("node"))
     met_once = named.alias("d").join(wanted.alias("w"), (F.col("d.node") == F.col("w.node")) & F.col("d.first").eqNullSafe(F.col("w.first")))
     described = stash(met_once.select("d.node", "d.text").mapInArrow(tidied(sets), "node long, shingles binary").dropDuplicates(["node"]))
-    sized = described.select("node", (F.octet_length("shingles") / 8).alias("n"))
 
     def verified(edges: DataFrame) -> DataFrame:
-        fit = edges.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-        fit = fit.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity).select("u", "v")
-        both = fit.join(described.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(described.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+        both = edges.join(described.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(described.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
         return cut(both.select("u", "v", "su", "sv").mapInArrow(tidied(_similar(similarity)), "u long, v long"))
 
     # Shingle sets are heavy, so each node first meets the centre that it shares most bands with, and only
     # candidates that these links leave in different components are verified after that.
+    ordered = lambda rows: rows.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "centre"))).where("rank = 1")
-    edges = verified(best.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
+    edges = verified(ordered(best))
     roots = connected_components(edges)
-    rest = cut(_apart(pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct(), roots))
+    rest = cut(_apart(ordered(pairs), roots))
     if rest.take(1):
         edges = cut(edges.unionByName(verified(rest)))
         roots = connected_components(edges)
     # What the stars leave: bands with several components.  Their smallest node has met all others by now.
-    open_ = met.where("n > 2 and node <> low").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = open_.withColumn("mixed", F.min("root").over(w) < F.max("root").over(w)).where("mixed").join(sized.withColumnRenamed("n", "size"), "node")
+    open_ = met.where("n > 2 and node <> centre").select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = open_.withColumn("mixed", F.min("root").over(w) < F.max("root").over(w)).where("mixed")
     open_ = cut(open_.withColumn("n", F.count("*").over(w)).withColumn("bytes", F.sum("size").over(w) * 8).select("key", "node", "root", "n", "bytes", "size"))
     if open_.take(1):
         few = open_.where(F.col("n") <= PAIRED)
         left, right = (few.select("key", *[F.col(c).alias(c + end) for c in ("node", "root", "size")]) for end in "uv")
-        met_ = left.join(right, "key").where("nodeu > nodev and rootu <> rootv").where(F.least("sizeu", "sizev") >= F.greatest("sizeu", "sizev") * similarity)
+        met_ = left.join(right, "key").where("nodeu > nodev and rootu <> rootv").where(fits("sizeu", "sizev"))
         more = verified(met_.select(F.col("nodeu").alias("u"), F.col("nodev").alias("v")).distinct())
         many = open_.where(F.col("n") > PAIRED).withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)))
         many = many.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -394,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "t
     # The document that stands for a component: the one with the smallest id (rows without id come last), then node.
     order = F.struct(F.col("first").isNull().alias("late"), F.col("first"), F.col("node"))
     least = linked.groupBy("root").agg(F.min(order).alias("least"), F.count("*").alias("n"))
-    linked = join_spread(linked, cut(least), ["root"], "n", roots.count()).select("node", F.col("least.first").alias("component_id"), F.col("least.node").alias("kept"))
+    linked = join_spread(linked, cut(least), ["root"], "n", roots.count(), HOT_EDGES).select("node", F.col("least.first").alias("component_id"), F.col("least.node").alias("kept"))
     named = nodes.join(linked.withColumn("linked", F.lit(True)), "node", "left")
     chosen = lambda a, b: F.when(F.col("linked"), F.col(a)).otherwise(F.col(b))
     named = cut(named.select("node", "n", chosen("component_id", "first").alias("component_id"), chosen("kept", "node").alias("kept")))
