@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from blockloom.plans import relational, storage
+from blockloom.plans import relational, storage, stored
 
-MODULES: tuple = (relational, storage)
+MODULES: tuple = (relational, storage, stored)
 
 
 def queries() -> dict:

@@ -62,7 +62,7 @@ def select(data: bytes, context: Context, override: str | None = None, verify: b
                 continue  # no gain; a block that nothing shrinks ends up raw
             if verify and c.decompress(made.payload, len(data), made.metadata) != data:
                 continue
-        except Exception:  # noqa: BLE001  a codec that cannot take a block is passed over, whatever it raises
+        except ValueError:  # so a codec says that it cannot take a block; anything else is a fault and is raised
             continue
         best = made
     return best or Encoded(bytes(data), "raw"), tried

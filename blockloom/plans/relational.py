@@ -385,14 +385,7 @@ def _(spark, d):
     return _ggml(spark, d).groupBy("ggml_type").agg(F.count("*").alias("n"))
 
 
-@query("files_with_quantized", f"{_GGML} SELECT p_brand FROM part WHERE p_partkey % 50 = 1 AND p_brand IN (SELECT p_brand FROM part JOIN g USING (p_partkey) WHERE ggml_type NOT IN ('F32', 'F16', 'BF16', 'F64'))")
-def _(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand")
-    q = _ggml(spark, d).where("is_quantised").join(p, "p_partkey").select("p_brand")
-    return p.where("p_partkey % 50 = 1").join(q, "p_brand", "left_semi").select("p_brand")
-
-
-@query("files_with_quantized_all", f"{_GGML} SELECT p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part JOIN g USING (p_partkey) WHERE ggml_type NOT IN ('F32', 'F16', 'BF16', 'F64'))")
+@query("files_with_quantized", f"{_GGML} SELECT p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part JOIN g USING (p_partkey) WHERE ggml_type NOT IN ('F32', 'F16', 'BF16', 'F64'))")
 def _(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand")
     q = _ggml(spark, d).where("is_quantised").join(p, "p_partkey").select("p_brand").distinct()

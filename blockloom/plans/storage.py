@@ -62,19 +62,6 @@ QUERIES["codec_candidates"] = dtype_normalize
 ORACLES["codec_candidates"] = f"WITH n AS (SELECT vec_id, CASE CAST(vec_id % 6 AS INTEGER) WHEN 0 THEN 'BF16' WHEN 1 THEN 'F32' WHEN 2 THEN 'FP16' WHEN 3 THEN 'FP64' WHEN 4 THEN 'I8' ELSE 'FP32' END AS dtype FROM embeddings) SELECT vec_id, dtype, {_CHAIN} AS chain FROM n"
 
 
-def _given(spark, d):
-    return B.fingerprints(B.split_blocks(B.document_files(spark, d), BS)).withColumn("codec", F.element_at(F.array(*map(F.lit, ("raw", "zlib", "zstd"))), (F.col("block_index") % 3 + 1).cast("int")))
-
-
-_GIVEN = f"{BLOCKS}, given AS (SELECT *, ['raw', 'zlib', 'zstd'][CAST(block_index % 3 + 1 AS INTEGER)] AS codec FROM prints)"
-QUERIES["codec_usage_file"] = lambda spark, d: _given(spark, d).groupBy("path", "codec").agg(F.count("*").alias("n"))
-ORACLES["codec_usage_file"] = f"WITH {_GIVEN} SELECT path, codec, count(*) AS n FROM given GROUP BY ALL"
-QUERIES["codec_usage_total"] = lambda spark, d: _given(spark, d).groupBy("codec").agg(F.count("*").alias("n"), F.sum("block_size").alias("bytes"))
-ORACLES["codec_usage_total"] = f"WITH {_GIVEN} SELECT codec, count(*) AS n, CAST(sum(block_size) AS BIGINT) AS bytes FROM given GROUP BY codec"
-QUERIES["distinct_codecs"] = lambda spark, d: _given(spark, d).groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"))
-ORACLES["distinct_codecs"] = f"WITH {_GIVEN} SELECT lang, string_agg(DISTINCT codec, ',' ORDER BY codec) AS codecs FROM given GROUP BY lang"
-
-
 def codec_argmin(spark, d):
     """The relational form of the choice: candidates as rows, the smallest by (size, priority)."""
     b = B.fingerprints(B.split_blocks(B.document_files(spark, d), BS))

@@ -45,6 +45,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Bytes of one Arrow batch sent to a Python worker: rows alone do not bound memory where blocks are large.
+BATCH_BYTES = 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches in this session, unless they are bounded more tightly."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
     sc = spark.sparkContext

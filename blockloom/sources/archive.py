@@ -17,11 +17,13 @@ import hashlib
 import json
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from blockloom import codecs
@@ -30,13 +32,15 @@ from blockloom.operators import artifacts
 from blockloom.operators import blocks as B
 from blockloom.operators import tensors as T
 from blockloom.operators.classify import is_safe_path
-from blockloom.session import cut
-from blockloom.sources import safetensors
+from blockloom.session import bounded_batches, cut, ship
+from blockloom.sources import ranged, safetensors
 
 VERSION = 7
 MAGIC = b"BLKARC\x01\x00"
 MOST_MANIFEST = 100 << 20
 TOOL = "blockloom"
+#: Descriptions of blocks (some 150 bytes each) that may be broadcast.
+BROADCAST_BLOCKS = 500_000
 
 
 # numpy's name of each tensor dtype.
@@ -50,30 +54,56 @@ class ArchiveError(ValueError):
 # --- packing ---
 
 
-def encoded_blocks(files: DataFrame, block_size: int, codec: str = "auto", level: int | None = None, dedup: bool = True, base: DataFrame | None = None, tensor_aware: bool = False) -> DataFrame:
-    """Blocks of files (file_id, path, size, content) as they are stored.
+def placed_blocks(prints: DataFrame, block_size: int, dedup: bool = True, base: DataFrame | None = None) -> DataFrame:
+    """(file_id, block_index, global_id, content_sha256, dedup_ref, base_ref) of blocks by their hashes alone; no bytes are shuffled.
+
+    The hashes are taken once and written, since several steps read them.
+    """
+    prints = cut(prints.select("file_id", "path", "block_index", "block_size", "content_sha256"))
+    ids = cut(B.global_ids(prints, block_size))
+    keep = ["file_id", "block_index", "global_id", "content_sha256", "dedup_ref"]
+    where = B.dedup_refs(ids).select(*keep) if dedup else ids.withColumn("dedup_ref", F.lit(-1).cast("long")).select(*keep)
+    if base is None:
+        return cut(where.withColumn("base_ref", F.lit(None).cast("long")))
+    first = base.where("dedup_ref < 0 and base_ref is null").groupBy("content_sha256").agg(F.min("global_id").alias("base_ref"))
+    return cut(where.join(first, "content_sha256", "left"))
+
+
+def encoded_blocks(files: DataFrame, block_size: int, codec: str = "auto", level: int | None = None, dedup: bool = True, base: DataFrame | None = None, tensor_aware: bool = False, quantised: DataFrame | None = None, source: str | None = None, jobs: int = 1) -> DataFrame:
+    """Blocks of files (file_id, path, size, content) as they are stored, sorted in each partition, encoded after the last exchange.
 
     Only hashes are shuffled to find duplicates; blocks that need no payload are not encoded.  With tensor_aware a
-    block of a safetensors file is encoded by the dtype of the tensor that holds its first byte.
+    block of a safetensors file is encoded by the dtype of the tensor that holds its first byte; files of ``quantised`` (file_id)
+    get no planes, and a column ``codec_wanted`` of the files names a codec for each of them.  With a ``source`` folder the files' content is their headers at most: only descriptions of blocks are
+    dealt, and bytes are read by range where they are hashed and again where they are encoded.
     """
-    blocks = B.split_blocks(files, block_size).withColumn("content_sha256", F.sha2("data", 256))
-    plain = blocks.drop("data")
-    ids = cut(B.global_ids(plain.select("file_id", "path", "block_index", "block_size", "content_sha256"), block_size))
-    where = B.dedup_refs(ids).select("file_id", "block_index", "global_id", "dedup_ref") if dedup else ids.select("file_id", "block_index", "global_id", F.lit(-1).cast("long").alias("dedup_ref"))
-    if base is not None:
-        first = base.where("dedup_ref < 0 and base_ref is null").groupBy("content_sha256").agg(F.min("global_id").alias("base_ref"))
-        where = where.join(ids.select("file_id", "block_index", "content_sha256").join(first, "content_sha256").drop("content_sha256"), ["file_id", "block_index"], "left")
-    else:
-        where = where.withColumn("base_ref", F.lit(None).cast("long"))
-    placed = blocks.join(where, ["file_id", "block_index"])
+    spark = files.sparkSession
+    if "codec_wanted" not in files.columns:
+        files = files.withColumn("codec_wanted", F.lit(None).cast("string"))
+    blocks = ranged.file_blocks(spark, source, block_size) if source else B.split_blocks(files, block_size)
+    where = placed_blocks(blocks.withColumn("content_sha256", F.sha2("data", 256)), block_size, dedup, base)
     stored = (F.col("dedup_ref") < 0) & F.col("base_ref").isNull()
+    if source:
+        named = where.join(files.select("file_id", "path", "size", "codec_wanted"), "file_id")
+        offset = F.col("block_index") * block_size
+        placed = named.withColumn("file_offset", offset).withColumn("block_size", F.least(F.lit(block_size).cast("long"), F.col("size") - offset)).withColumn("wanted", stored)
+        placed = placed.repartitionByRange(jobs, "path", "block_index") if jobs > 1 else placed.repartitionByRange("path", "block_index")
+    else:
+        # Descriptions of at most BROADCAST_BLOCKS blocks go to the bytes; beyond that both are dealt.
+        placed = blocks.join(F.broadcast(where) if where.count() <= BROADCAST_BLOCKS else where, ["file_id", "block_index"])
+    if quantised is not None:
+        planeless = quantised.select("file_id", F.lit(quantised_codec(codec)).alias("planeless"))
+        placed = placed.join(planeless, "file_id", "left").withColumn("codec_wanted", F.coalesce("planeless", "codec_wanted")).drop("planeless")
     if tensor_aware:
         t = safetensors.tensors(files.where(F.lower("path").endswith(".safetensors"))).join(files.select("file_id", "path"), "path")
-        owners = T.attribute(placed.select("file_id", "file_offset"), t.withColumn("byte_offset", F.col("byte_offset") + F.col("header_size")), block_size).select("file_id", "file_offset", "tensor_name")
+        owners = T.attribute(where.select("file_id", (F.col("block_index") * block_size).alias("file_offset")), t.withColumn("byte_offset", F.col("byte_offset") + F.col("header_size")), block_size).select("file_id", "file_offset", "tensor_name")
         placed = placed.join(owners, ["file_id", "file_offset"], "left").join(t.select("file_id", F.col("name").alias("tensor_name"), F.col("dtype").alias("tensor_dtype"), F.col("shape").alias("tensor_shape")), ["file_id", "tensor_name"], "left")
     else:
         placed = placed.select("*", F.lit(None).cast("string").alias("tensor_name"), F.lit(None).cast("string").alias("tensor_dtype"), F.lit(None).cast("array<bigint>").alias("tensor_shape"))
-    return with_encoding(placed.withColumn("data", F.when(stored, F.col("data"))), codec, level, "tensor_dtype")
+    order = ["path", "block_index"]
+    if source:
+        return with_encoding(ranged.with_data(placed.sortWithinPartitions(*order), source), codec, level, "tensor_dtype", choice="codec_wanted")
+    return with_encoding(placed.withColumn("data", F.when(stored, F.col("data"))), codec, level, "tensor_dtype", choice="codec_wanted").sortWithinPartitions(*order)
 
 
 def quantised_codec(codec: str) -> str:
@@ -81,9 +111,64 @@ def quantised_codec(codec: str) -> str:
     return "zstd" if codec in ("auto", "floatplane", "byteplane") else codec
 
 
-def pack(files: DataFrame, path: str, block_size: int = B.DEFAULT_BLOCK, codec: str = "auto", level: int | None = None, dedup: bool = True, base: str | None = None, artifact_type: str = "unknown", artifact_metadata: dict | None = None, tensor_aware: bool = False, gguf_aware: bool = False, jobs: int = 1) -> dict:
-    """Write the folder form and return its manifest.  ``artifact_type="detect"`` finds out what the files are."""
+STORED = ["path", "block_index", "block_size", "codec", "codec_metadata", "payload"]
+
+
+def in_order(batches: Iterator) -> Iterator[tuple[str, int, bytes | None]]:
+    """(path, block_index, data) of batches of stored blocks, one at a time; null where a payload is missing or broken."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            path, index, size, codec, meta, payload = (batch.column(k)[i].as_py() for k in range(6))
+            try:
+                yield path, index, None if payload is None else codecs.decode(payload, codec, int(size), json.loads(meta or "{}"))
+            except Exception:  # noqa: BLE001  hostile payloads raise anything
+                yield path, index, None
+
+
+def file_hashes(stored: DataFrame) -> DataFrame:
+    """(path, n_blocks, bytes, sha256) of files from their stored blocks, decoded in order and one at a time: only payloads are dealt, no file is ever held."""
+    ship(stored.sparkSession)
+    bounded_batches(stored.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, digest, n, size = None, hashlib.sha256(), 0, 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n]), pa.array([size]), pa.array([digest.hexdigest()])], names=["path", "n_blocks", "bytes", "sha256"])
+
+        for path, _, data in in_order(batches):
+            if path != at:
+                if at is not None:
+                    yield made()
+                at, digest, n, size = path, hashlib.sha256(), 0, 0
+            digest.update(data or b"")
+            n, size = n + 1, size + len(data or b"")
+        if at is not None:
+            yield made()
+
+    dealt = stored.select(*STORED).repartition("path").sortWithinPartitions("path", "block_index")
+    return dealt.mapInArrow(run, "path string, n_blocks long, bytes long, sha256 string")
+
+
+def fingerprint(files: DataFrame) -> str:
+    """The SHA-256 of an archive's content: of its files' hashes, in the order of their hashes by path (sums only, so nothing is collected)."""
+    one = F.sha2(F.concat_ws("\0", "path", F.col("size").cast("string"), "sha256"), 256)
+    parts = [F.sum(F.conv(F.substring(one, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"p{i}") for i in range(8)]
+    row = files.agg(F.count("*").alias("n"), *parts).first()
+    return hashlib.sha256("|".join(str(x) for x in row).encode()).hexdigest()
+
+
+def pack(files: DataFrame, path: str, block_size: int = B.DEFAULT_BLOCK, codec: str = "auto", level: int | None = None, dedup: bool = True, base: str | None = None, artifact_type: str = "unknown", artifact_metadata: dict | None = None, tensor_aware: bool = False, gguf_aware: bool = False, jobs: int = 1, source: str | None = None) -> dict:
+    """Write the folder form and return its manifest.  ``artifact_type="detect"`` finds out what the files are.
+
+    ``files`` have their content, or (see ``pack_folder``) with ``source`` only their headers.  ``jobs`` over 1 is the number of
+    tasks that encode.
+    """
     spark = files.sparkSession
+    if jobs > 1 and not source:
+        files = files.repartition(jobs)
     if "file_id" not in files.columns:
         files = files.withColumn("file_id", F.xxhash64("path"))
     if files.where(~is_safe_path(F.col("path"))).take(1):
@@ -94,25 +179,35 @@ def pack(files: DataFrame, path: str, block_size: int = B.DEFAULT_BLOCK, codec:
     if artifact_type == "detect":
         found = artifacts.artifact(files)
         artifact_type, artifact_metadata = found["artifact_type"], found["artifact_metadata"]
-    if gguf_aware and artifacts.quantised_files(files).take(1):
-        codec = quantised_codec(codec)
-    out = encoded_blocks(files, block_size, codec, level, dedup, base_blocks, tensor_aware).drop("size")
+    quantised = None
+    if gguf_aware:
+        quantised = artifacts.quantised_files(files).join(files.select("path", "file_id"), "path").select("file_id").distinct()
+    out = encoded_blocks(files, block_size, codec, level, dedup, base_blocks, tensor_aware, quantised, source, jobs).drop("size")
     keep = ["global_id", "file_id", "path", "block_index", "file_offset", "block_size", "content_sha256", "codec", "codec_metadata", "compressed_size", "payload_sha256", "dedup_ref", "base_ref", "tensor_name", "tensor_dtype", "tensor_shape", "payload"]
-    out.select(*keep).repartitionByRange("path", "block_index").sortWithinPartitions("path", "block_index").write.mode("errorifexists").parquet(f"{path}/blocks")
-    files.select("file_id", "path", "size", F.sha2("content", 256).alias("sha256"), F.lit(block_size).alias("block_size")).write.parquet(f"{path}/files")
+    out.select(*keep).write.mode("errorifexists").parquet(f"{path}/blocks")
+    if source:
+        files = files.join(ranged.file_digests(spark, source).select("path", "sha256"), "path", "left")
+    else:
+        files = files.withColumn("sha256", F.sha2("content", 256))
+    files.select("file_id", "path", "size", "sha256", F.lit(block_size).alias("block_size")).write.parquet(f"{path}/files")
     b, f = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/files")
     n = b.agg(F.count("*"), F.count_if(F.col("dedup_ref") >= 0), F.coalesce(F.sum("compressed_size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("dedup_ref") >= 0, F.col("block_size"))), F.lit(0)), F.count("base_ref")).first()
     m = f.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     manifest = {
         "version": VERSION, "tool": TOOL, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "artifact_type": artifact_type, "artifact_metadata": artifact_metadata or {}, "total_files": m[0], "total_blocks": n[0],
         "total_original_size": m[1], "total_compressed_size": n[2], "deduplication": {"enabled": dedup, "duplicate_blocks": n[1], "saved_bytes": n[3]},
-        "delta": {"enabled": base is not None, "base": base, "referenced_blocks": n[4]}, "parallelism": {"jobs": jobs} if jobs > 1 else {}, "index": {"version": 1, "has_block_offsets": True, "has_file_index": True, "has_tensor_index": tensor_aware},
+        "delta": {"enabled": base is not None, "base": base, "base_sha256": fingerprint(spark.read.parquet(f"{path_of(base)}/files")) if base else None, "referenced_blocks": n[4]}, "parallelism": {"jobs": jobs} if jobs > 1 else {}, "index": {"version": 1, "has_block_offsets": True, "has_file_index": True, "has_tensor_index": tensor_aware},
         "runtime_hints": {"partial_file_access": True, "tensor_access": "limited" if tensor_aware else "none", "compressed_inference": False},
     }
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.parquet(f"{path}/manifest")
     return manifest
 
 
+def pack_folder(spark: SparkSession, source: str, path: str, block_size: int = B.DEFAULT_BLOCK, **how) -> dict:
+    """Pack all files below a folder (or one file) of any size: they are read by range, and no row holds more than a block."""
+    return pack(cut(ranged.heads(spark, source)), path, block_size, source=source, **how)
+
+
 def path_of(path: str | None) -> str:
     if not path:
         raise ArchiveError("no path")
@@ -131,8 +226,34 @@ class Archive:
         self.blocks = spark.read.parquet(f"{self.path}/blocks")
         self.base = Archive(spark, base) if base else None
 
+    def __enter__(self) -> Archive:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Nothing is held open; the form is for ``with`` blocks."""
+
     def manifest(self) -> dict:
-        return json.loads(self.spark.read.parquet(f"{self.path}/manifest").first()["manifest"])
+        return upgraded(json.loads(self.spark.read.parquet(f"{self.path}/manifest").first()["manifest"]))
+
+    def get_block(self, global_id: int) -> dict:
+        """A block's description without its payload; KeyError if there is none."""
+        row = self.blocks.where(F.col("global_id") == global_id).drop("payload").first()
+        if row is None:
+            raise KeyError(global_id)
+        return row.asDict()
+
+    def blocks_of(self, path: str) -> DataFrame:
+        """The blocks of a file in order, without payloads."""
+        return self.blocks.where(F.col("path") == path).drop("payload").orderBy("block_index")
+
+    def read_block(self, global_id: int) -> bytes:
+        """The content of one block, checked against its hash."""
+        row = self.decoded(self.blocks.where(F.col("global_id") == global_id)).first()
+        if row is None:
+            raise KeyError(global_id)
+        if row["error"] or hashlib.sha256(row["data"]).hexdigest() != row["content_sha256"]:
+            raise ArchiveError(f"block {global_id}: {row['error'] or 'content differs from its checksum'}")
+        return bytes(row["data"])
 
     def list_files(self) -> list[str]:
         return [r["path"] for r in self.files.select("path").orderBy("path").toLocalIterator()]
@@ -182,6 +303,8 @@ class Archive:
     def read_file_range(self, path: str, offset: int, length: int) -> bytes:
         if offset < 0 or length < 0:
             raise ValueError("offset and length must not be negative")
+        if not self.files.where(F.col("path") == path).take(1):
+            raise KeyError(path)
         hit = B.range_overlap(self.blocks.where(F.col("path") == path), offset, length)
         row = B.read_range(self.decoded(hit).select("file_id", "path", "block_index", "file_offset", "block_size", "data"), offset, length).first()
         return bytes(row["data"]) if row else b""
@@ -226,27 +349,48 @@ class Archive:
         f = self.files if not patterns else self.files.where(first_match(F.col("path"), patterns).isNotNull())
         if f.where(~is_safe_path(F.col("path"))).take(1):
             raise ArchiveError("unsafe path in the archive")
-        names = None if not patterns else [r["path"] for r in f.select("path").toLocalIterator()]
-        top = os.path.realpath(out_dir)
+        system, top = ranged.file_system(out_dir)
+        local = os.path.realpath(top) if isinstance(system, fs.LocalFileSystem) else None
+        system.create_dir(top, recursive=True)
 
         def write(batches: Iterator) -> Iterator:
+            """Blocks in order into a file beside the target, which takes its name once the checksum is right."""
             import pyarrow as pa
 
-            for batch in batches:
-                done = 0
-                for path, data, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    target = os.path.join(top, path)
-                    if not ok:
-                        raise ArchiveError(f"{path}: content differs from its checksum")
-                    if os.path.islink(target) or os.path.commonpath([top, os.path.realpath(target)]) != top:
+            state: dict = {}
+
+            def close() -> int:
+                if not state:
+                    return 0
+                state["out"].close()
+                if state["digest"].hexdigest() != state["sha256"]:
+                    system.delete_file(state["part"])
+                    raise ArchiveError(f"{state['path']}: content differs from its checksum")
+                system.move(state["part"], state["target"])
+                state.clear()
+                return 1
+
+            done = 0
+            for path, sha, data in ((p, x["sha256"][0].as_py(), d) for batch in batches for x in (batch.slice(i, 1) for i in range(batch.num_rows)) for p, _, d in in_order([x])):
+                if state.get("path") != path:
+                    done += close()
+                    target = f"{top.rstrip('/')}/{path}"
+                    if local and (os.path.islink(target) or os.path.commonpath([local, os.path.realpath(target)]) != local):
                         raise ArchiveError(f"{path}: leaves the folder")
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    with open(target, "wb") as o:
-                        o.write(data)
-                    done += 1
-                yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
-
-        return self.read_files(names).select("path", "data", "ok").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                    system.create_dir(os.path.dirname(target), recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    state.update(path=path, sha256=sha, target=target, part=part, out=system.open_output_stream(part), digest=hashlib.sha256())
+                state["out"].write(data or b"")
+                state["digest"].update(data or b"")
+            done += close()
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+        wanted = f.select("path", "sha256")
+        some = self.resolved(self.blocks.join(wanted.select("path"), "path", "left_semi")).select(*STORED).join(wanted, "path", "right")
+        ship(self.spark)
+        bounded_batches(self.spark)
+        dealt = some.select(*STORED, "sha256").repartition("path").sortWithinPartitions("path", "block_index")
+        return dealt.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     # --- verification ---
 
@@ -261,8 +405,18 @@ class Archive:
         refs = B.invalid_refs(self.blocks.select("global_id", "dedup_ref")).join(self.blocks.select("global_id", *where), "global_id").select(*where, F.concat(F.lit("dedup reference "), "reason").alias("error"))
         payload = self.blocks.where(F.col("payload").isNotNull() & (F.sha2("payload", 256) != F.col("payload_sha256"))).select(*where, F.lit("payload checksum differs").alias("error"))
         out = unsafe.unionByName(wrong).unionByName(twice).unionByName(known).unionByName(refs).unionByName(payload)
+        if not self.base:
+            away = self.blocks.where("base_ref is not null").select(*where, F.lit("base archive missing").alias("error"))
+            out = out.unionByName(away)
+        else:
+            there = self.base.blocks.select(F.col("global_id").alias("base_ref"), F.lit(True).alias("there"))
+            gone = self.blocks.where("base_ref is not null").join(there, "base_ref", "left").where("there is null").select(*where, F.lit("block missing in the base archive").alias("error"))
+            out = out.unionByName(gone)
         if full:
             d = self.decoded()
+            hashed = file_hashes(self.resolved()).withColumnRenamed("sha256", "is_sha256")
+            files = self.files.join(hashed, "path", "left").withColumn("is_sha256", F.coalesce("is_sha256", F.sha2(F.lit(b""), 256)))
+            out = out.unionByName(files.where("is_sha256 <> sha256").select("path", F.lit(None).cast("long").alias("block_index"), F.lit("file checksum differs").alias("error")))
             broken = d.where(F.col("error").isNotNull()).select(*where, "error")
             differs = d.where(F.col("error").isNull() & (F.sha2("data", 256) != F.col("content_sha256"))).select(*where, F.lit("content checksum differs").alias("error"))
             out = out.unionByName(broken).unionByName(differs)
@@ -270,8 +424,59 @@ class Archive:
 
     def verify(self, full: bool = True) -> dict:
         found = self.errors(full).groupBy("error").agg(F.count("*").alias("n"), F.min("path").alias("example")).collect()
-        m = self.manifest()
-        return {"integrity": "FAILED" if found else "OK", "errors": {r["error"]: {"count": r["n"], "example": r["example"]} for r in found}, "total_files": m["total_files"], "total_blocks": m["total_blocks"], "restored_size": m["total_original_size"], "compressed_size": m["total_compressed_size"]}
+        errors = {r["error"]: {"count": r["n"], "example": r["example"]} for r in found}
+        m, is_ = self.manifest(), self.totals().first().asDict()
+        wrong = [k for k, v in is_.items() if m.get(k) != v]
+        if wrong:
+            errors["manifest totals differ"] = {"count": len(wrong), "example": wrong[0]}
+        told = m["delta"].get("base_sha256")
+        if self.base and told and told != fingerprint(self.base.files):
+            errors["another base archive"] = {"count": 1, "example": self.base.path}
+        return {"integrity": "FAILED" if errors else "OK", "errors": errors, "total_files": is_["total_files"], "total_blocks": is_["total_blocks"], "restored_size": is_["total_original_size"], "compressed_size": is_["total_compressed_size"]}
+
+    def totals(self) -> DataFrame:
+        """One row of what the tables hold, measured: files, blocks, bytes before and after."""
+        f = self.files.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_original_size"))
+        b = self.blocks.agg(F.count("*").alias("total_blocks"), F.coalesce(F.sum("compressed_size"), F.lit(0)).alias("total_compressed_size"))
+        return f.join(b)  # one row each
+
+    def codec_usage(self, *by: str) -> DataFrame:
+        """Blocks and bytes by codec (duplicates as "duplicate", blocks of the base as "base") and, with ``by``, by path or tensor dtype."""
+        name = F.when(F.col("dedup_ref") >= 0, "duplicate").when(F.col("base_ref").isNotNull(), "base").otherwise(F.col("codec")).alias("codec")
+        return self.blocks.groupBy(*by, name).agg(F.count("*").alias("blocks"), F.sum("block_size").alias("bytes"), F.coalesce(F.sum("compressed_size"), F.lit(0)).alias("compressed"))
+
+    def inspect(self) -> dict:
+        """The manifest with measured totals, codec usage, dtypes, tensors and what elision and the base save."""
+        saved = self.blocks.agg(F.coalesce(F.sum(F.when(F.col("dedup_ref") >= 0, F.col("block_size"))), F.lit(0)).alias("dedup"), F.coalesce(F.sum(F.when(F.col("base_ref").isNotNull() & (F.col("dedup_ref") < 0), F.col("block_size"))), F.lit(0)).alias("delta"), F.count("tensor_name").alias("attributed")).first()
+        total = self.totals().first().asDict()
+        return {
+            "manifest": self.manifest(), "totals": total, "ratio": total["total_compressed_size"] / total["total_original_size"] if total["total_original_size"] else 1.0,
+            "codecs": {r["codec"]: {"blocks": r["blocks"], "bytes": r["bytes"], "compressed": r["compressed"]} for r in self.codec_usage().collect()},
+            "dtypes": {r["tensor_dtype"]: r["n"] for r in self.blocks.where("tensor_dtype is not null").groupBy("tensor_dtype").agg(F.count("*").alias("n")).collect()},
+            "dedup_saved_bytes": saved["dedup"], "delta_saved_bytes": saved["delta"], "has_tensor_data": saved["attributed"] > 0,
+        }
+
+
+#: What manifests of older versions lack, with the value that it has for them.
+DEFAULTS: dict = {
+    "version": 1, "tool": TOOL, "created_at": None, "artifact_type": "unknown", "artifact_metadata": {}, "total_files": 0, "total_blocks": 0, "total_original_size": 0, "total_compressed_size": 0,
+    "deduplication": {"enabled": False, "duplicate_blocks": 0, "saved_bytes": 0}, "delta": {"enabled": False, "base": None, "base_sha256": None, "referenced_blocks": 0}, "parallelism": {},
+    "index": {"version": 0, "has_block_offsets": False, "has_file_index": False, "has_tensor_index": False}, "runtime_hints": {"partial_file_access": False, "tensor_access": "none", "compressed_inference": False},
+}
+
+
+def upgraded(manifest: dict) -> dict:
+    """A manifest of any known version as the present one: what it lacks is filled in, what is unknown stays."""
+    version = manifest.get("version", 1)
+    if not isinstance(version, int) or not 1 <= version <= VERSION:
+        raise ArchiveError(f"manifest version {version!r} is not supported")
+    filled = dict(manifest)
+    for key, value in DEFAULTS.items():
+        if isinstance(value, dict):
+            filled[key] = value | (manifest.get(key) or {})
+        else:
+            filled.setdefault(key, value)
+    return filled
 
 
 def report(found: dict) -> str:
@@ -331,16 +536,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.magic = options["path"], bytes.fromhex(options.get("magic_hex", MAGIC.hex()))
         self.part_bytes = int(options.get("partition_bytes", 64 << 20))
-        self.paths: set[str] | None = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("path",):
-                self.paths = {f.value} if self.paths is None else self.paths & {f.value}
-            elif isinstance(f, In) and f.attribute == ("path",):
-                self.paths = set(f.value) if self.paths is None else self.paths & set(f.value)
-            else:
-                yield f
+        # Chosen by option: Spark keeps one reader for all queries on a loaded source, so filters pushed by one would hold for the next.
+        self.paths = set(json.loads(options["only"])) if "only" in options else None
 
     def partitions(self):
         manifest, start = read_single_manifest(self.path, self.magic)
@@ -370,7 +567,7 @@ class _Reader(DataSourceReader):
 
 
 class BlockArchive(DataSource):
-    """``spark.read.format("blockarchive").load(file)``: decoded blocks of a single-file archive; filters on path are pushed down."""
+    """``spark.read.format("blockarchive").load(file)``: decoded blocks of a single-file archive, or of the files of the option ``only`` (a JSON list)."""
 
     @classmethod
     def name(cls):
@@ -384,8 +581,5 @@ class BlockArchive(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    from blockloom.session import ship
-
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BlockArchive)

@@ -10,9 +10,12 @@ _ENTRY = "map<string, struct<dtype: string, shape: array<bigint>, data_offsets:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(path, header_size, header json, error) of each file; header_size counts the length prefix."""
+    """(path, header_size, header json, error) of each file; header_size counts the length prefix.
+
+    The content may be the header alone; the file's true length is its ``size``, if there is such a column.
+    """
     n = F.expr("try_cast(conv(concat_ws('', transform(sequence(8, 1, -1), i -> hex(substring(content, i, 1)))), 16, 10) as decimal(20, 0))")
-    size = F.octet_length("content")
+    size = F.col("size").cast("long") if "size" in files.columns else F.octet_length("content")
     h = files.withColumn("_n", n).withColumn("_size", size)
     error = (
         F.when(F.col("content").isNull(), "no content")

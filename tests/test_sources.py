@@ -49,7 +49,8 @@ def test_archive(spark, tmp_path):
     df = spark.read.format("blockarchive").load(f"{tmp_path}/one.blk")
     whole = B.reconstruct(df.withColumn("file_id", F.lit(0)))
     assert {r["path"]: bytes(r["data"]) for r in whole.collect()} == {p: c for p, c in ROWS if c}
-    assert df.where(F.col("path") == "a/y.bin").count() == 5
+    assert df.where(F.col("path") == "a/y.bin").count() == 5 and df.count() == 14
+    assert spark.read.format("blockarchive").option("only", '["a/y.bin"]').load(f"{tmp_path}/one.blk").count() == 5
 
 
 def test_hostile_archives(spark, tmp_path):
