@@ -21,7 +21,6 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from blockloom.llm import tokens
 from blockloom.llm.common import bounded_batches, quoted, table, tidied
@@ -29,8 +28,8 @@ from blockloom.llm.common import bounded_batches, quoted, table, tidied
 MODEL = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of a group: a bound, for a document of n bytes has at most 1 + n / CAPACITY pieces.
-GROUP_ROWS = 40_000
+#: Pieces of a group.  Groups are dealt by documents; where these are so long that more pieces come, they are packed in several lots.
+GROUP_ROWS = 20_000
 
 
 def cut_lengths(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -114,28 +113,36 @@ def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", ca
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Add sequence_id and offset to rows with a column ``length``; n_items, a bound of their number, sets the number of groups."""
+    """Add sequence_id and offset to rows with a column ``length``; n_items (about) sets the number of groups, and no lot is larger than two."""
     groups = max(1, -(-n_items // group_rows))
     ddl = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        bins, offsets = pack_lengths(rows.column("length").to_numpy(), capacity)
-        base = TaskContext.get().partitionId() << 40
-        rows = rows.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
-        yield from rows.to_batches(max_chunksize=10_000)
+        base, lot, held = TaskContext.get().partitionId() << 40, [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal base, lot, held
+            rows = pa.Table.from_batches(lot)
+            bins, offsets = pack_lengths(rows.column("length").to_numpy(), capacity)
+            rows = rows.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
+            base, lot, held = base + len(rows), [], 0
+            yield from rows.to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            if held and held + batch.num_rows > 2 * group_rows:
+                yield from packed()
+            if batch.num_rows:
+                lot.append(batch)
+                held += batch.num_rows
+        if held:
+            yield from packed()
 
     return items.repartition(groups).mapInArrow(tidied(place), ddl)
 
 
 def pack_documents(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False, group_rows: int = GROUP_ROWS, cache_entries: int = tokens.MOST_ENTRIES) -> DataFrame:
     """Pieces of all documents with their place; with keep_ids also the token ids to write the sequences from."""
-    # No token is shorter than a byte, so this bounds the number of pieces.
-    most = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")).first()
-    return pack(pieces(docs, model, kind, capacity, id_column, column, keep_ids, cache_entries), most["n"] + most["bytes"] // capacity, capacity, group_rows)
+    return pack(pieces(docs, model, kind, capacity, id_column, column, keep_ids, cache_entries), docs.count(), capacity, group_rows)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
