@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from blockloom import codecs
+from blockloom.codecs.select import ALIASES, FLOAT_CHAIN, FLOATS, PLAIN_CHAIN
 from blockloom.session import BATCH_BYTES, bounded_batches, ship
 
 ENCODED = "struct<codec: string, payload: binary, codec_metadata: string, compressed_size: int, payload_sha256: string, candidates_tried: int>"
 
 
+def dtype_name(dtype):
+    """The usual name of a dtype column, as ``codecs.normalize_dtype`` gives it."""
+    name = F.upper(F.trim(dtype))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), name), name)
+
+
+def candidate_chain(dtype):
+    """The codecs to try for a dtype column, in order, as an array."""
+    chain = lambda names: F.array(*map(F.lit, names))
+    return F.when(dtype_name(dtype).isin(*FLOATS), chain(FLOAT_CHAIN)).otherwise(chain(PLAIN_CHAIN))
+
+
 def with_encoding(blocks: DataFrame, codec: str = "auto", level: int | None = None, dtype: str | None = None, path: str | None = "path", choice: str | None = None) -> DataFrame:
     """Blocks (data) with codec, payload, codec_metadata, compressed_size and payload_sha256 instead of the data.
 

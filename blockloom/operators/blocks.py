@@ -42,6 +42,11 @@ def fingerprints(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("content_sha256", F.sha2("data", 256)).drop("data")
 
 
+def skeleton(blocks: DataFrame) -> DataFrame:
+    """Block descriptions whose hashes are still to be taken: no bytes are read for them."""
+    return blocks.drop("data").withColumn("content_sha256", F.lit(""))
+
+
 def running_total(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` over all rows in the given order, without a single-task window.
 
@@ -78,6 +83,11 @@ def dedup_groups(ids: DataFrame) -> DataFrame:
     return ids.groupBy("content_sha256").agg(F.min("global_id").alias("canonical_id"), F.count("*").alias("total_refs"), (F.sum("block_size") - F.max("block_size")).alias("saved_bytes")).where("total_refs > 1")
 
 
+def dedup_members(refs: DataFrame) -> DataFrame:
+    """(content_sha256, canonical_id, duplicate_id): the members of every group, a row each, since a group may be too large for an array."""
+    return refs.where("dedup_ref >= 0").select("content_sha256", "canonical_id", F.col("global_id").alias("duplicate_id"))
+
+
 def dedup_stats(prints: DataFrame, by: list[str]) -> DataFrame:
     """Totals per group: blocks, distinct contents, duplicates and the bytes that elision saves (partial sums per content first)."""
     per = prints.groupBy(*by, "content_sha256").agg(F.count("*").alias("n"), F.max("block_size").alias("b"))
@@ -112,6 +122,21 @@ def file_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.count_if(F.col("sa") == F.col("sb")).alias("matching"), F.count("*").alias("total"))
 
 
+def block_similarity(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, similarity) of blocks in both sides: 1 where length and SHA-256 are equal, else 0."""
+    y = b.select(*keys, F.col("block_size").alias("_n"), F.col("content_sha256").alias("_s"))
+    same = (F.col("block_size") == F.col("_n")) & (F.col("content_sha256") == F.col("_s"))
+    return a.join(y, keys).select(*keys, F.when(same, 1.0).otherwise(0.0).alias("similarity"))
+
+
+def size_similarity(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+    """(path, similarity) of files in both sides by their sizes alone; 0 where the smaller has less than ``least`` of the larger, 1 for two empty ones."""
+    y = b.select("path", F.col("size").alias("_n"))
+    top = F.greatest("size", "_n", F.lit(1))
+    close = F.when((F.least("size", "_n") > 0) & (F.least("size", "_n") / top < least), 0.0).otherwise(1 - F.abs(F.col("size") - F.col("_n")) / top)
+    return a.join(y, "path").select("path", close.alias("similarity"))
+
+
 def range_overlap(blocks: DataFrame, start: int, length: int) -> DataFrame:
     """Blocks that overlap [start, start + length) of their file; the offset predicate reaches the scan."""
     if start < 0 or length < 0:

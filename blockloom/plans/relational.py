@@ -8,6 +8,7 @@ from blockloom.operators import blocks as B
 from blockloom.operators import classify as C
 from blockloom.operators import ggml as G
 from blockloom.operators import tensors as T
+from blockloom.session import cut
 
 #: Block size of the queries over the small driver tables; archives use blocks.DEFAULT_BLOCK.
 BS = 256
@@ -53,7 +54,7 @@ def ids(spark, d):
 
 
 def refs(spark, d):
-    return B.dedup_refs(ids(spark, d))
+    return B.dedup_refs(cut(ids(spark, d).select("path", "global_id", "content_sha256", "block_size")))
 
 
 # --- files and blocks ---
@@ -69,15 +70,9 @@ def _(spark, d):
     return files(spark, d).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@query("size_format", f"WITH {FILES}, s AS (SELECT path, size * 37 AS n FROM files) SELECT path, CASE WHEN n >= 1048576 THEN format('{{:.2f}} MB', n / 1048576.0) WHEN n >= 1024 THEN format('{{:.2f}} KB', n / 1024.0) ELSE n || ' bytes' END AS size_text FROM s")
+@query("size_format", f"WITH {FILES}, s AS (SELECT path, CAST(size * 37 * (1::BIGINT << CAST(10 * (file_id % 4) AS INTEGER)) AS BIGINT) AS n FROM files) SELECT path, CASE WHEN n >= 1073741824 THEN format('{{:.2f}} GB', n / 1073741824.0) WHEN n >= 1048576 THEN format('{{:.2f}} MB', n / 1048576.0) WHEN n >= 1024 THEN format('{{:.2f}} KB', n / 1024.0) ELSE n || ' bytes' END AS size_text FROM s")
 def _(spark, d):
-    return files(spark, d).select("path", B.size_text(F.col("size") * 37).alias("size_text"))
-
-
-@query("ratio", f"WITH {FILES}, s AS (SELECT lang, CAST(sum(length(decode(content))) AS BIGINT) AS c, CAST(sum(size) AS BIGINT) AS o FROM files GROUP BY lang) SELECT lang, round(CASE WHEN o = 0 THEN 1.0 ELSE c / o::DOUBLE END, 6) AS ratio FROM s")
-def _(spark, d):
-    s = files(spark, d).groupBy("lang").agg(F.sum(F.length(F.decode("content", "UTF-8"))).alias("c"), F.sum("size").alias("o"))
-    return s.select("lang", F.round(B.ratio("c", "o"), 6).alias("ratio"))
+    return files(spark, d).select("path", B.size_text(F.expr("size * 37 * shiftleft(1L, cast(10 * (file_id % 4) as int))")).alias("size_text"))
 
 
 @query("split_blocks", f"WITH {BLOCKS} SELECT path, block_index, file_offset, block_size FROM blocks")
@@ -90,6 +85,11 @@ def _(spark, d):
     return prints(spark, d).select("path", "block_index", "content_sha256")
 
 
+@query("fingerprint_skeleton", f"WITH {BLOCKS} SELECT path, block_index, block_size, '' AS content_sha256 FROM blocks")
+def _(spark, d):
+    return B.skeleton(blocks(spark, d)).select("path", "block_index", "block_size", "content_sha256")
+
+
 @query("block_global_id", f"WITH {IDS} SELECT path, block_index, global_id FROM ids")
 def _(spark, d):
     return ids(spark, d).select("path", "block_index", "global_id")
@@ -134,6 +134,11 @@ def _(spark, d):
     return B.dedup_groups(ids(spark, d))
 
 
+@query("dedup_members", f"WITH {REFS} SELECT content_sha256, dedup_ref AS canonical_id, global_id AS duplicate_id FROM refs WHERE dedup_ref >= 0")
+def _(spark, d):
+    return B.dedup_members(refs(spark, d))
+
+
 @query("dedup_unique_blocks", f"WITH {REFS} SELECT global_id, block_size FROM refs WHERE dedup_ref < 0")
 def _(spark, d):
     r = refs(spark, d)
@@ -183,12 +188,17 @@ def _(spark, d):
     return B.file_similarity(new_version(spark, d), prints(spark, d))
 
 
-@query("file_similarity_size_only", f"WITH {FILES}, p AS (SELECT a.file_id, a.size AS x, b.size AS y FROM files a JOIN files b ON b.file_id = a.file_id + 1) SELECT file_id, round(CASE WHEN least(x, y) / greatest(x, y, 1)::DOUBLE < 0.5 THEN 0.0 ELSE 1 - abs(x - y) / greatest(x, y, 1)::DOUBLE END, 6) AS similarity FROM p")
+@query("block_similarity", f"WITH {_NEW} SELECT p.path, p.block_index, CASE WHEN nb.content_sha256 = p.content_sha256 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS similarity FROM nb JOIN prints p ON nb.path = p.path AND nb.block_index = p.block_index")
 def _(spark, d):
+    return B.block_similarity(new_version(spark, d), prints(spark, d), ["path", "block_index"])
+
+
+@query("file_similarity_size_only", f"WITH {FILES}, p AS (SELECT path, size AS x, size * (1 + file_id % 4) AS y FROM files) SELECT path, round(CASE WHEN least(x, y) > 0 AND least(x, y) / greatest(x, y, 1)::DOUBLE < 0.5 THEN 0.0 ELSE 1 - abs(x - y) / greatest(x, y, 1)::DOUBLE END, 6) AS similarity FROM p")
+def _(spark, d):
+    """A version in which files are once to four times as long as before."""
     f = files(spark, d)
-    x, y = f.select("file_id", F.col("size").alias("x")), f.select((F.col("file_id") - 1).alias("file_id"), F.col("size").alias("y"))
-    top = F.greatest("x", "y", F.lit(1))
-    return x.join(y, "file_id").select("file_id", F.round(F.when(F.least("x", "y") / top < 0.5, 0.0).otherwise(1 - F.abs(F.col("x") - F.col("y")) / top), 6).alias("similarity"))
+    y = f.select("path", F.octet_length(F.expr("repeat(decode(content, 'UTF-8'), cast(1 + file_id % 4 as int))")).alias("size"))
+    return B.size_similarity(y, f.select("path", "size")).select("path", F.round("similarity", 6).alias("similarity"))
 
 
 # --- reads ---
@@ -222,22 +232,6 @@ def _(spark, d):
     return b.where("size <> total").select("path", "size", "total")
 
 
-@query("manifest_duplicate_paths", f"WITH {FILES} SELECT lang || '/' || source AS path, count(*) AS n FROM files GROUP BY 1 HAVING count(*) > 1")
-def _(spark, d):
-    return files(spark, d).groupBy(F.concat_ws("/", "lang", "source").alias("path")).agg(F.count("*").alias("n")).where("n > 1")
-
-
-_VERIFY = f"{BLOCKS}, bad AS (SELECT *, CASE WHEN file_id % 13 = 0 AND block_index = 0 THEN sha256('x') ELSE content_sha256 END AS claimed FROM prints)"
-
-
-@query("verify_quick", f"WITH {_VERIFY} SELECT path, CASE WHEN count(*) FILTER (WHERE claimed <> content_sha256) > 0 THEN 'FAILED' ELSE 'OK' END AS integrity, count(*) FILTER (WHERE claimed <> content_sha256) AS errors FROM bad GROUP BY path")
-def _(spark, d):
-    wrong = (F.col("file_id") % 13 == 0) & (F.col("block_index") == 0)
-    p = prints(spark, d).withColumn("claimed", F.when(wrong, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.col("content_sha256")))
-    n = F.count_if(F.col("claimed") != F.col("content_sha256"))
-    return p.groupBy("path").agg(F.when(n > 0, "FAILED").otherwise("OK").alias("integrity"), n.alias("errors"))
-
-
 # --- tensors ---
 
 
@@ -293,9 +287,13 @@ def _(spark, d):
     return planes.groupBy("vec_id", "plane").agg(F.sum("x").alias("total"))
 
 
-@query("float_plane_entropy", f"WITH {_BITS}, n AS (SELECT (b >> 23) & 255 AS exponent, count(*) AS n FROM bits GROUP BY 1) SELECT CAST(exponent AS INTEGER) AS exponent, n FROM n")
+@query("float_plane_entropy", f"WITH {_BITS}, p AS (SELECT unnest([0, 1, 2, 3]) AS plane, b FROM bits), n AS (SELECT plane, (b >> (8 * plane)) & 255 AS x, count(*) AS n FROM p GROUP BY ALL) SELECT plane, CAST(sum(n) AS BIGINT) AS n, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM n GROUP BY plane")
 def _(spark, d):
-    return T.values(T.embedding_tensors(spark, d)).groupBy(T.exponent(F.col("bits")).alias("exponent")).agg(F.count("*").alias("n"))
+    """Bits of entropy of each byte plane, which bound what an entropy coder leaves of it."""
+    v = T.values(T.embedding_tensors(spark, d))
+    n = v.select(F.posexplode(F.array(*[T.byte_of(F.col("bits"), k) for k in range(4)])).alias("plane", "x")).groupBy("plane", "x").agg(F.count("*").alias("n"))
+    total = F.sum("n")
+    return n.groupBy("plane").agg(total.alias("n"), F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 6).alias("entropy"))
 
 
 @query("largest_tensor", f"WITH {TENSORS} SELECT dtype, count(*) AS tensors, CAST(sum(byte_size) AS BIGINT) AS bytes, arg_max(name, byte_size * 1000000000 - vec_id) AS largest FROM tensors GROUP BY dtype")

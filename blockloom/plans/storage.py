@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from blockloom.codecs import candidates, normalize_dtype
-from blockloom.functions.block_codecs import with_decoding, with_encoding
+from blockloom.codecs import candidates
+from blockloom.codecs.core import QuantBlock
+from blockloom.functions.block_codecs import candidate_chain, dtype_name, with_decoding, with_encoding
 from blockloom.operators import blocks as B
 from blockloom.operators import tensors as T
 from blockloom.plans.relational import BLOCKS, BS, FILES, TENSORS
@@ -20,18 +21,20 @@ ORACLES: dict[str, str] = {}
 BIG = 4096
 
 
-def _roundtrip(name: str, codec: str) -> None:
+def _roundtrip(name: str, codec: str, dtypes: tuple[str, ...] = ()) -> None:
     def run(spark, d):
         b = B.split_blocks(B.document_files(spark, d), BIG)
-        back = with_decoding(with_encoding(b.select("path", "block_index", "block_size", "content_sha256" if "content_sha256" in b.columns else F.sha2("data", 256).alias("content_sha256"), "data"), codec))
+        dtype = F.element_at(F.array(*map(F.lit, dtypes)), (F.col("file_id") % len(dtypes) + 1).cast("int")) if dtypes else F.lit(None).cast("string")
+        back = with_decoding(with_encoding(b.select("path", "block_index", "block_size", dtype.alias("dtype"), F.sha2("data", 256).alias("content_sha256"), "data"), codec, dtype="dtype"))
         return back.select("path", "block_index", "block_size", F.sha2("data", 256).alias("sha256"), F.coalesce(F.sha2("data", 256) == F.col("content_sha256"), F.lit(False)).alias("ok"))
 
     QUERIES[name] = run
     ORACLES[name] = f"WITH {FILES}, c AS (SELECT *, unnest(generate_series(0, size - 1, {BIG})) AS o FROM files) SELECT path, CAST(o // {BIG} AS BIGINT) AS block_index, CAST(least({BIG}, size - o) AS BIGINT) AS block_size, sha256(content[o + 1 : least(o + {BIG}, size)]) AS sha256, TRUE AS ok FROM c"
 
 
-for _n, _c in (("raw_roundtrip", "raw"), ("zlib_roundtrip", "zlib"), ("zstd_roundtrip", "zstd"), ("byteplane_roundtrip", "byteplane"), ("gguf_quant_roundtrip", "gguf_quant_block"), ("auto_select_roundtrip", "auto")):
+for _n, _c in (("raw_roundtrip", "raw"), ("zlib_roundtrip", "zlib"), ("zstd_roundtrip", "zstd"), ("byteplane_roundtrip", "byteplane"), ("auto_select_roundtrip", "auto")):
     _roundtrip(_n, _c)
+_roundtrip("gguf_quant_roundtrip", "gguf_quant_block", (*QuantBlock.PLANED, "IQ4_XS", "F16"))
 
 
 def _f32_bytes(embedding):
@@ -51,10 +54,9 @@ ORACLES["floatplane_roundtrip"] = f"WITH {TENSORS} SELECT name, byte_size AS blo
 
 
 def dtype_normalize(spark, d):
-    raw = ["BFLOAT16", " f32 ", "Float16", "float64", "i8", "FP32"]
-    names = spark.createDataFrame([(i, x, normalize_dtype(x), ",".join(candidates(x))) for i, x in enumerate(raw)], "k int, raw string, dtype string, chain string")
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.col("vec_id") % len(raw)).cast("int").alias("k"))
-    return e.join(F.broadcast(names), "k").select("vec_id", "dtype", "chain")
+    raw = F.element_at(F.array(*map(F.lit, ("BFLOAT16", " f32 ", "Float16", "float64", "i8", "FP32"))), (F.col("vec_id") % 6 + 1).cast("int"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", raw.alias("raw"))
+    return e.select("vec_id", dtype_name(F.col("raw")).alias("dtype"), F.array_join(candidate_chain(F.col("raw")), ",").alias("chain"))
 
 
 _CHAIN = "CASE WHEN dtype IN ('BF16', 'FP16', 'F16', 'FP32', 'F32') THEN 'floatplane,byteplane,zstd,zlib,raw' ELSE 'zstd,zlib,raw' END"
@@ -63,15 +65,16 @@ ORACLES["codec_candidates"] = f"WITH n AS (SELECT vec_id, CASE CAST(vec_id % 6 A
 
 
 def codec_argmin(spark, d):
-    """The relational form of the choice: candidates as rows, the smallest by (size, priority)."""
-    b = B.fingerprints(B.split_blocks(B.document_files(spark, d), BS))
-    sizes = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(n).alias("codec"), (F.col("block_size") - F.ascii(F.substring("content_sha256", k, 1)) % m).alias("bytes")) for p, (n, k, m) in enumerate((("zstd", 1, 7), ("zlib", 2, 7), ("raw", 3, 1)))])
-    c = b.select("path", "block_index", F.explode(sizes).alias("c")).select("path", "block_index", "c.*")
-    return c.groupBy("path", "block_index").agg(F.min_by("codec", F.struct("bytes", "priority")).alias("codec"), F.min("bytes").alias("bytes"))
+    """The relational form of the choice: the candidates' encodings as rows, the smallest by (size, priority), against what "auto" stores."""
+    tried = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(n).alias("wanted")) for i, n in enumerate((*candidates(None), "auto"))])
+    b = B.split_blocks(B.document_files(spark, d), BIG).withColumn("c", F.explode(tried)).select("path", "block_index", "data", "c.*")
+    e, auto = with_encoding(b, choice="wanted"), F.col("wanted") == "auto"
+    got = e.groupBy("path", "block_index").agg(F.min_by("codec", F.when(~auto, F.struct("compressed_size", "priority"))).alias("least"), F.max(F.when(auto, F.col("codec"))).alias("chosen"), F.min(F.when(~auto, F.col("compressed_size"))).alias("n"), F.max(F.when(auto, F.col("compressed_size"))).alias("stored"))
+    return got.select("path", "block_index", ((F.col("least") == F.col("chosen")) & (F.col("n") == F.col("stored"))).alias("same"))
 
 
 QUERIES["codec_argmin"] = codec_argmin
-ORACLES["codec_argmin"] = f"WITH {BLOCKS}, c AS (SELECT path, block_index, unnest([{{'p': 0, 'codec': 'zstd', 'bytes': block_size - ascii(content_sha256[1]) % 7}}, {{'p': 1, 'codec': 'zlib', 'bytes': block_size - ascii(content_sha256[2]) % 7}}, {{'p': 2, 'codec': 'raw', 'bytes': block_size}}], recursive := true) FROM prints) SELECT path, block_index, arg_min(codec, bytes * 10 + p) AS codec, CAST(min(bytes) AS BIGINT) AS bytes FROM c GROUP BY path, block_index"
+ORACLES["codec_argmin"] = f"WITH {FILES}, c AS (SELECT path, unnest(generate_series(0, size - 1, {BIG})) AS o FROM files) SELECT path, CAST(o // {BIG} AS BIGINT) AS block_index, TRUE AS same FROM c"
 
 
 def _packed(spark, d, **how):
@@ -138,3 +141,16 @@ QUERIES["stream_dedup"] = stream_dedup
 ORACLES["stream_dedup"] = f"WITH {BLOCKS} SELECT content_sha256, max(block_size) AS block_size FROM prints GROUP BY 1"
 QUERIES["arrivals_windowed"] = lambda spark, d: arrivals.windowed_arrivals(spark.read.parquet(f"{d}/events.parquet"))
 ORACLES["arrivals_windowed"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
+
+
+def arrivals_stream(spark, d):
+    """The windows of a stream that its watermark has closed, each with its final count."""
+    here = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    arrivals.run_available(arrivals.windowed_arrivals(events), f"{here}/out", f"{here}/state")
+    return spark.read.parquet(f"{here}/out")
+
+
+QUERIES["arrivals_stream"] = arrivals_stream
+ORACLES["arrivals_stream"] = "WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"

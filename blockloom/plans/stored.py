@@ -12,6 +12,7 @@ from blockloom import codecs
 from blockloom.functions.block_codecs import with_decoding, with_encoding
 from blockloom.operators import artifacts
 from blockloom.operators import blocks as B
+from blockloom.operators import classify as C
 from blockloom.plans.relational import _GGML, BLOCKS, BS, FILES, REFS
 from blockloom.plans.storage import _f32_bytes
 from blockloom.session import shared_dir, ship
@@ -89,9 +90,74 @@ def _(spark, d):
     return ranged.file_digests(spark, out).withColumnRenamed("bytes", "size")
 
 
+@query("block_sink", f"WITH {FILES} SELECT path, CAST(size AS BIGINT) AS bytes, sha256(content) AS sha256 FROM files WHERE size > 0")
+def _(spark, d):
+    """Plain blocks into files, without an archive."""
+    out = _fresh(spark, "folder")
+    ranged.write_blocks(B.split_blocks(_files(spark, d), BIG), out)
+    return ranged.file_digests(spark, out)
+
+
+@query("folder_inspect", f"WITH {FILES} SELECT count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes, max(size) = max(size) AS largest_found, 'unknown' AS artifact_type FROM files")
+def _(spark, d):
+    from blockloom.cli import inspected_folder
+
+    folder = _folder(spark, d)
+    seen = inspected_folder(spark, folder, set())
+    largest = ranged.file_list(spark, folder).agg(F.max("size")).first()[0]
+    is_largest = dict(ranged.listing(folder))[seen["largest"]] == largest
+    return spark.createDataFrame([(seen["total_files"], seen["total_bytes"], is_largest, seen["artifact_type"])], "total_files long, total_bytes long, largest_found boolean, artifact_type string")
+
+
+@query("pickle_magic", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pytorch_bin' ELSE 'unknown' END AS format FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    """Files whose names say little: their first bytes tell."""
+    content = F.when(F.col("file_id") % 3 == 0, F.concat(F.unhex(F.lit("8003")), "content")).otherwise(F.col("content"))
+    return _files(spark, d).select(F.col("file_id").alias("doc_id"), C.file_format(F.lit("x.bin"), content).alias("format"))
+
+
 # --- archives ---
 
 
+@query("ratio", f"WITH {REFS} SELECT lang, round(sum(block_size) FILTER (WHERE dedup_ref < 0) / sum(block_size)::DOUBLE, 6) AS ratio FROM refs GROUP BY lang HAVING count(*) FILTER (WHERE dedup_ref < 0) > 0")
+def _(spark, d):
+    """What elision alone leaves of each language's files."""
+    b = _packed(spark, _files(spark, d), BS, codec="raw").blocks
+    s = b.groupBy(F.element_at(F.split("path", "/"), 1).alias("lang")).agg(F.sum("compressed_size").alias("c"), F.sum("block_size").alias("o"))
+    return s.where("c is not null").select("lang", F.round(B.ratio("c", "o"), 6).alias("ratio"))
+
+
+@query("archive_lookup", f"WITH {BLOCKS} SELECT path, block_index, block_size, content_sha256 FROM prints WHERE path = (SELECT min(path) FROM files WHERE size > 0)")
+def _(spark, d):
+    """The blocks of one file, by its path."""
+    a = _packed(spark, _files(spark, d), BS)
+    first = a.files.where("size > 0").agg(F.min("path")).first()[0]
+    return a.blocks_of(first).select("path", "block_index", "block_size", "content_sha256")
+
+
+_HURT = "CASE WHEN size > 0 AND file_id % 13 = 0 THEN 'payload checksum differs' WHEN size > 0 AND file_id % 13 = 1 THEN 'unknown codec' WHEN file_id % 13 = 2 THEN 'block sizes do not add up' END"
+
+
+@query("verify_quick", f"WITH {FILES}, h AS (SELECT path, {_HURT} AS error FROM files) SELECT path, error, CASE WHEN error IS NULL THEN 'OK' ELSE 'FAILED' END AS integrity FROM h")
+def _(spark, d):
+    """An archive with cut payloads, a codec that nobody knows, and files of another size than their blocks."""
+    a = _packed(spark, _files(spark, d), dedup=False)
+    kind, first = F.col("file_id") % 13, F.col("block_index") == 0
+    a.blocks = a.blocks.withColumn("payload", F.when((kind == 0) & first, F.expr("substring(payload, 1, octet_length(payload) - 3)")).otherwise(F.col("payload"))).withColumn("codec", F.when((kind == 1) & first, F.lit("none such")).otherwise(F.col("codec")))
+    a.files = a.files.withColumn("size", F.when(kind == 2, F.col("size") + 1).otherwise(F.col("size")))
+    found = a.files.select("path").join(a.errors(full=False).select("path", "error"), "path", "left")
+    return found.withColumn("integrity", F.when(F.col("error").isNull(), "OK").otherwise("FAILED"))
+
+
+@query("manifest_duplicate_paths", f"WITH {BLOCKS} SELECT path, NULL::BIGINT AS block_index, 'path occurs twice' AS error FROM files WHERE file_id % 7 = 0 UNION ALL SELECT path, block_index, 'block occurs twice' FROM prints WHERE file_id % 7 = 0")
+def _(spark, d):
+    """An archive some of whose files are listed twice."""
+    a = _packed(spark, _files(spark, d), BS)
+    a.blocks = a.blocks.unionByName(a.blocks.where("file_id % 7 = 0"))
+    a.files = a.files.unionByName(a.files.where("file_id % 7 = 0"))
+    return a.errors(full=False).where(F.col("error").endswith("occurs twice"))
+
+
 @query("archive_block_table", f"WITH {REFS} SELECT path, block_index, file_offset, block_size, content_sha256, CAST(global_id AS BIGINT) AS global_id, CAST(dedup_ref AS BIGINT) AS dedup_ref, dedup_ref < 0 AS stored FROM refs")
 def _(spark, d):
     b = _packed(spark, _files(spark, d), BS).blocks
@@ -287,13 +353,17 @@ def _(spark, d):
 # --- directories of side files ---
 
 
-@query("lora_directory", "SELECT 'run-' || doc_id AS dir, TRUE AS is_lora, CAST(doc_id % 64 + 1 AS INTEGER) AS rank, 'base/' || lang AS base_model FROM documents WHERE lang IS NOT NULL")
-def _(spark, d):
+def _adapters(spark, d) -> DataFrame:
     """Adapter configurations, one per document, as files of JSON."""
     t = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null").select("doc_id", "lang")
     body = F.to_json(F.struct((F.col("doc_id") % 64 + 1).alias("r"), F.concat(F.lit("base/"), "lang").alias("base_model_name_or_path"), F.lit("LORA").alias("peft_type")))
     files = t.select(F.concat(F.lit("run-"), "doc_id", F.lit("/adapter_config.json")).alias("path"), F.encode(body, "UTF-8").alias("content"))
-    return artifacts.lora_adapters(files.withColumn("size", F.octet_length("content").cast("long"))).select("dir", "is_lora", "rank", "base_model")
+    return files.withColumn("size", F.octet_length("content").cast("long"))
+
+
+@query("lora_directory", "SELECT 'run-' || doc_id AS dir, TRUE AS is_lora, CAST(doc_id % 64 + 1 AS INTEGER) AS rank, 'base/' || lang AS base_model FROM documents WHERE lang IS NOT NULL")
+def _(spark, d):
+    return artifacts.lora_adapters(_adapters(spark, d)).select("dir", "is_lora", "rank", "base_model")
 
 
 @query("checkpoint_directory", "SELECT 'run-' || doc_id AS dir, TRUE AS is_checkpoint, CAST(doc_id * 10 AS BIGINT) AS step FROM documents")
@@ -302,3 +372,19 @@ def _(spark, d):
     body = F.to_json(F.struct((F.col("doc_id") * 10).alias("global_step"), F.lit(1.5).alias("epoch")))
     files = t.select(F.concat(F.lit("run-"), "doc_id", F.lit("/trainer_state.json")).alias("path"), F.encode(body, "UTF-8").alias("content"))
     return artifacts.checkpoints(files).select("dir", "is_checkpoint", "step")
+
+
+@query("manifest_lora", "SELECT 'lora_adapter' AS artifact_type, min('run-' || doc_id) AS dir, arg_min(doc_id % 64 + 1, 'run-' || doc_id) AS rank, arg_min('base/' || lang, 'run-' || doc_id) AS base_model FROM documents WHERE lang IS NOT NULL")
+def _(spark, d):
+    """What a manifest says of an archive of adapters: its type, and the first adapter's configuration."""
+    m = A.pack(_adapters(spark, d), _fresh(spark, "archive"), codec="zlib", artifact_type="detect")
+    x = m["artifact_metadata"]
+    return spark.createDataFrame([(m["artifact_type"], x["dir"], x["rank"], x["base_model"])], "artifact_type string, dir string, rank long, base_model string")
+
+
+@query("manifest_gguf", f"{_GGML} SELECT 'gguf_model' AS artifact_type, 3::BIGINT AS version, ggml_type, count(*) AS n FROM g JOIN part USING (p_partkey) WHERE p_brand = (SELECT min(p_brand) FROM part) GROUP BY ggml_type")
+def _(spark, d):
+    """What a manifest says of an archive of GGUF files: the header and types of the first."""
+    m = A.pack(gguf_files(spark, d), _fresh(spark, "archive"), codec="zlib", artifact_type="detect", gguf_aware=True)
+    x = m["artifact_metadata"]
+    return spark.createDataFrame([(m["artifact_type"], x["version"], k, n) for k, n in x["quantization"].items()], "artifact_type string, version long, ggml_type string, n long")

@@ -325,15 +325,27 @@ class Archive:
         return row.asDict() if row else None
 
     def load_tensor(self, path: str, name: str):
-        """A tensor as a numpy array in its shape; BF16, which numpy lacks, is refused."""
+        """A tensor as a numpy array in its shape; BF16, which numpy lacks, comes as the float32 values that it stands for."""
         import numpy as np
 
         n = int.from_bytes(self.read_file_range(path, 0, 8), "little")
         entry = json.loads(self.read_file_range(path, 8, n))[name]
+        if entry["dtype"] == "BF16":
+            return (np.frombuffer(self.read_tensor(path, name), "<u2").astype("<u4") << 16).view("<f4").reshape(entry["shape"])
         if entry["dtype"] not in NUMPY_TYPES:
             raise ArchiveError(f"numpy has no {entry['dtype']}")
         return np.frombuffer(self.read_tensor(path, name), NUMPY_TYPES[entry["dtype"]]).reshape(entry["shape"])
 
+    def load_torch(self, path: str, name: str):
+        """The tensor as a torch one (BF16 as bfloat16), where torch is installed."""
+        try:
+            import torch
+        except ImportError:
+            raise ArchiveError("torch is not installed") from None
+        n = int.from_bytes(self.read_file_range(path, 0, 8), "little")
+        made = torch.from_numpy(self.load_tensor(path, name).copy())
+        return made.to(torch.bfloat16) if json.loads(self.read_file_range(path, 8, n))[name]["dtype"] == "BF16" else made
+
     def extract_tensor(self, path: str, name: str, out_dir: str) -> str:
         """Write a tensor's bytes to <safe name>.bin below out_dir."""
         target = os.path.join(out_dir, name.translate(str.maketrans("/\\:", "___")) + ".bin")
@@ -400,11 +412,12 @@ class Archive:
         unsafe = self.files.where(~is_safe_path(F.col("path"))).select("path", F.lit(None).cast("long").alias("block_index"), F.lit("unsafe path").alias("error"))
         sizes = self.blocks.groupBy("path").agg(F.sum("block_size").alias("total"))
         wrong = self.files.join(sizes, "path", "left").where(F.coalesce("total", F.lit(0)) != F.col("size")).select("path", F.lit(None).cast("long").alias("block_index"), F.lit("block sizes do not add up").alias("error"))
+        paths = self.files.groupBy("path").count().where("count > 1").select("path", F.lit(None).cast("long").alias("block_index"), F.lit("path occurs twice").alias("error"))
         twice = self.blocks.groupBy(*where).count().where("count > 1").select(*where, F.lit("block occurs twice").alias("error"))
         known = self.blocks.where(F.col("codec").isNotNull() & ~F.col("codec").isin(codecs.registered())).select(*where, F.lit("unknown codec").alias("error"))
         refs = B.invalid_refs(self.blocks.select("global_id", "dedup_ref")).join(self.blocks.select("global_id", *where), "global_id").select(*where, F.concat(F.lit("dedup reference "), "reason").alias("error"))
         payload = self.blocks.where(F.col("payload").isNotNull() & (F.sha2("payload", 256) != F.col("payload_sha256"))).select(*where, F.lit("payload checksum differs").alias("error"))
-        out = unsafe.unionByName(wrong).unionByName(twice).unionByName(known).unionByName(refs).unionByName(payload)
+        out = unsafe.unionByName(wrong).unionByName(paths).unionByName(twice).unionByName(known).unionByName(refs).unionByName(payload)
         if not self.base:
             away = self.blocks.where("base_ref is not null").select(*where, F.lit("base archive missing").alias("error"))
             out = out.unionByName(away)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -213,3 +214,44 @@ def with_data(places: DataFrame, top: str) -> DataFrame:
                 yield batch.slice(first).append_column("data", pa.array(out, pa.binary()))
 
     return places.mapInArrow(run, StructType([*places.schema.fields, StructField("data", BinaryType())]))
+
+
+def write_blocks(blocks: DataFrame, out_dir: str) -> int:
+    """Write plain blocks (path, block_index, data) as files below a folder that all executors share; returns their number.
+
+    A file is written beside its target and takes its name when it is whole, so a task that is run again does no harm.
+    """
+    from blockloom.operators.classify import is_safe_path
+
+    if blocks.where(~is_safe_path(F.col("path"))).take(1):
+        raise ValueError("unsafe path among the blocks")
+    ship(blocks.sparkSession)
+    bounded_batches(blocks.sparkSession)
+    system, top = file_system(out_dir)
+    system.create_dir(top, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, f, done = None, None, None, 0
+
+        def close() -> int:
+            if at is None:
+                return 0
+            f.close()
+            system.move(part, f"{top.rstrip('/')}/{at}")
+            return 1
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
+                if path != at:
+                    done += close()
+                    target = f"{top.rstrip('/')}/{path}"
+                    system.create_dir(os.path.dirname(target), recursive=True)
+                    at, part = path, f"{target}.{uuid.uuid4().hex}.part"
+                    f = system.open_output_stream(part)
+                f.write(batch.column(2)[i].as_py() or b"")
+        done += close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    dealt = blocks.select("path", "block_index", "data").repartition("path").sortWithinPartitions("path", "block_index")
+    return dealt.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -8,7 +8,7 @@ from blockloom.cli import run
 from blockloom.operators import blocks as B
 from blockloom.operators import classify as C
 from blockloom.sources import archive as A
-from blockloom.sources import gguf, safetensors
+from blockloom.sources import gguf, ranged, safetensors
 from blockloom.streaming import arrivals
 
 
@@ -163,3 +163,49 @@ def test_stream_of_files(spark, tmp_path):
     (src / "2").write_bytes(b"q" * 500 + b"r" * 500)
     arrivals.run_available(stream(), *out)
     assert spark.read.parquet(out[0]).count() == 2
+
+
+def test_late_arrivals_and_bounded_state(spark, tmp_path):
+    """Two batches: what comes behind the watermark is left out, and a fingerprint is forgotten once the watermark passed it."""
+    src = tmp_path / "events"
+    put = lambda i, rows: spark.createDataFrame(rows, "at string, event_type string, content binary").withColumn("ts", F.to_timestamp_ntz("at")).coalesce(1).write.mode("append").parquet(str(src))
+    schema = "at string, event_type string, content binary, ts timestamp_ntz"
+    read = lambda: spark.readStream.schema(schema).parquet(str(src))
+    window = lambda: arrivals.windowed_arrivals(read())
+    files = lambda: read().withColumn("size", F.octet_length("content").cast("long")).withColumn("path", F.col("at"))
+    fresh = lambda: arrivals.new_contents(files(), 4, "ts", "1 hour").select("path", "content_sha256")
+    put(0, [("2024-01-01 10:05:00", "a", b"same"), ("2024-01-01 10:50:00", "a", b"same"), ("2024-01-01 12:30:00", "a", b"else")])
+    arrivals.run_available(window(), f"{tmp_path}/w", f"{tmp_path}/ws")
+    arrivals.run_available(fresh(), f"{tmp_path}/f", f"{tmp_path}/fs")
+    put(1, [("2024-01-01 10:10:00", "a", b"late"), ("2024-01-01 12:40:00", "a", b"same"), ("2024-01-01 15:00:00", "a", b"else")])
+    arrivals.run_available(window(), f"{tmp_path}/w", f"{tmp_path}/ws")
+    arrivals.run_available(fresh(), f"{tmp_path}/f", f"{tmp_path}/fs")
+    got = {(str(r["window_start"]), r["n"]) for r in spark.read.parquet(f"{tmp_path}/w").collect()}
+    assert got == {("2024-01-01 10:00:00", 2), ("2024-01-01 12:00:00", 2)}
+    assert spark.read.parquet(f"{tmp_path}/f").count() == 3  # same, else, and same again after its hour; late ones and the near repeat go
+
+
+def test_plain_blocks_to_files(spark, tmp_path):
+    rows = files(spark, ROWS)
+    assert ranged.write_blocks(B.split_blocks(rows, 700), f"{tmp_path}/out") == 4
+    for p, c in ROWS:
+        assert not c or (tmp_path / "out" / p).read_bytes() == c
+    assert not list((tmp_path / "out").rglob("*.part"))
+    with pytest.raises(ValueError):
+        ranged.write_blocks(B.split_blocks(files(spark, [("../x", b"a")])), f"{tmp_path}/out")
+
+
+def test_bfloat16_tensors_are_widened(spark, tmp_path):
+    raw = safetensors.build([("t", "BF16", [2, 2], struct.pack("<4H", 0x3F80, 0xBF80, 0x4000, 0x0000))], {})
+    A.pack(files(spark, [("m.safetensors", raw)]), f"{tmp_path}/a", 64)
+    got = A.Archive(spark, f"{tmp_path}/a").load_tensor("m.safetensors", "t")
+    assert got.dtype == "float32" and got.tolist() == [[1.0, -1.0], [2.0, 0.0]]
+
+
+def test_similarities(spark):
+    a = spark.createDataFrame([("x", 10), ("y", 10), ("z", 0), ("only", 1)], "path string, size long")
+    b = spark.createDataFrame([("x", 8), ("y", 4), ("z", 0)], "path string, size long")
+    assert {tuple(r) for r in B.size_similarity(a, b).collect()} == {("x", 0.8), ("y", 0.0), ("z", 1.0)}
+    left = B.fingerprints(B.split_blocks(files(spark, [("p", b"aaaabbbbcc")]), 4))
+    right = B.fingerprints(B.split_blocks(files(spark, [("p", b"aaaaxxxxccc")]), 4))
+    assert [r["similarity"] for r in B.block_similarity(left, right, ["path", "block_index"]).orderBy("block_index").collect()] == [1.0, 0.0, 0.0]
