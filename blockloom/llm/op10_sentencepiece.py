@@ -69,6 +69,8 @@ class Vocabulary:
             else:
                 self.text[i] = p.id_to_piece(i).replace(_SPACE, " ").encode()
                 rank[i] = i
+        self.bytes_of = np.full(n, b"", object)
+        self.bytes_of[list(self.text)] = list(self.text.values())
         self.weight = -sharpness * np.log(2.0 + rank)
         edges: dict[int, int] = {}
         final = [-1]
@@ -124,9 +126,12 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return self.processor.encode(text)
 
+    def spelled(self, ids) -> bytes:
+        """The bytes that piece ids stand for, without the blank that encoding puts before a text."""
+        return b"".join(self.bytes_of[np.asarray(ids, np.int64)].tolist()).removeprefix(b" ")
+
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(self.text[i] for i in ids)
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+        return self.spelled(ids).decode("utf-8", "replace")
 
 
 class Lattice:
@@ -442,11 +447,15 @@ def vocabulary(path: str, sharpness: float) -> Vocabulary:
 
 
 def sampled(docs: DataFrame, k: int = K, model: str | None = None, sharpness: float = SHARPNESS, id_column: str = "doc_id", column: str = "text", keep_ids: bool = True) -> DataFrame:
-    """(id, sample, n_pieces, ids_crc32, log_prob, log_inclusion and, with keep_ids, ids) of up to k segmentations per row."""
+    """(id, sample, n_pieces, ids_crc32, text_crc32, restored, log_prob, log_inclusion and, with keep_ids, ids) of up to k segmentations per row.
+
+    Every sample is decoded again: ``text_crc32`` is of the UTF-8 of what comes back, and ``restored`` says whether that is the text
+    (with blanks for U+2581, which the library takes for one).
+    """
     bounded_batches(docs.sparkSession)
     path = model or public_tokenizers.path(MODEL)
     src = docs.select(id_column, column)
-    ddl = f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, sample int, n_pieces long, ids_crc32 long, log_prob double, log_inclusion double" + (", ids array<int>" if keep_ids else "")
+    ddl = f"{quoted(id_column)} {src.schema[0].dataType.simpleString()}, sample int, n_pieces long, ids_crc32 long, text_crc32 long, restored boolean, log_prob double, log_inclusion double" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blockloom.llm import tokens
@@ -458,14 +467,16 @@ def sampled(docs: DataFrame, k: int = K, model: str | None = None, sharpness: fl
             for a, b in tokens.slices(items, SLICE_CHARS):
                 rows, out, kept = [], [], []
                 for i, got in enumerate(sample(v, items[a:b], keys[a:b], k), a):
+                    whole = items[i].replace(_SPACE, " ").encode("utf-8", "replace")
                     for r, (ids, lp, inclusion) in enumerate(got, 1):
                         rows.append(i)
-                        out.append((r, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), lp, inclusion))
+                        back = v.spelled(ids)
+                        out.append((r, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back), back == whole, lp, inclusion))
                         if keep_ids:
                             kept.append(ids.astype(np.int32))
                 columns = list(zip(*out, strict=True))
-                arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names=[id_column, "sample", "n_pieces", "ids_crc32", "log_prob", "log_inclusion"] + ["ids"] * keep_ids)
+                arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names=[id_column, "sample", "n_pieces", "ids_crc32", "text_crc32", "restored", "log_prob", "log_inclusion"] + ["ids"] * keep_ids)
 
     return src.mapInArrow(tidied(run), ddl)
 
@@ -499,7 +510,7 @@ def decoded(pieces: DataFrame, model: str | None = None, id_column: str = "doc_i
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sampled(table(spark, sf_dir, "documents"), keep_ids=False)
-    return got.select("doc_id", "sample", "n_pieces", "ids_crc32", F.round("log_prob", 6).alias("log_prob"), F.round("log_inclusion", 6).alias("log_inclusion"))
+    return got.select("doc_id", "sample", "n_pieces", "ids_crc32", "text_crc32", "restored", F.round("log_prob", 6).alias("log_prob"), F.round("log_inclusion", 6).alias("log_inclusion"))
 
 
 QUERIES = {"op10_sentencepiece": op10_sentencepiece}

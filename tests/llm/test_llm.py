@@ -628,10 +628,20 @@ def test_sampled_rows(docs, rows, vocabulary):
     for r in got:
         assert vocabulary.decode(r["ids"]) == (rows[r["doc_id"]][1] or "")
         assert again[r["doc_id"], r["sample"]] == r["ids_crc32"]
+        assert r["restored"] and r["text_crc32"] == zlib.crc32((rows[r["doc_id"]][1] or "").encode())
         per.setdefault(r["doc_id"], []).append(tuple(r["ids"]))
     assert set(per) == {i for i, *_ in rows} and all(len(set(x)) == len(x) for x in per.values())
 
 
+def test_samples_of_texts_that_the_library_rewrites(spark):
+    """U+2581 comes back as a blank, which the query says by its CRC and still counts as restored."""
+    docs = spark.createDataFrame([(1, "a\u2581b"), (2, " lead and  two "), (3, "\n\u2581"), (4, "\U0001f600 x\u0000y")], "doc_id long, text string")
+    want = {1: "a b", 2: " lead and  two ", 3: "\n ", 4: "\U0001f600 x\u0000y"}
+    got = op10_sentencepiece.sampled(docs, 2).collect()
+    assert {r["doc_id"] for r in got} == set(want)
+    assert all(r["restored"] and r["text_crc32"] == zlib.crc32(want[r["doc_id"]].encode()) for r in got)
+
+
 def test_encode_and_decode(docs, rows):
     ids = op10_sentencepiece.encoded(docs)
     back = {r["doc_id"]: r["text"] for r in op10_sentencepiece.decoded(ids).collect()}
