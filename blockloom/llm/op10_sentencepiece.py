@@ -253,11 +253,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: From one place to the next.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _salted(key: np.ndarray, stream: int) -> np.ndarray:
+    """What the numbers of a key and a stream start from."""
+    return _mix(key + np.uint64(stream * 0xD1342543DE82EF95 & (2**64 - 1)))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def uniform(key: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row key, the stream and the place alone."""
-    salted = np.uint64(stream * 0xD1342543DE82EF95 & (2**64 - 1))
-    x = _mix(key + salted) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return _unit(_salted(key, stream) + place.astype(np.uint64) * _STEP)
 
 
 def _uniform_one(key: int, stream: int, place: int) -> float:
@@ -277,21 +288,23 @@ def row_key(value) -> int:
     return xxhash.xxh64_intdigest(str(value).encode("utf-8", "surrogatepass")) if value is not None else 0
 
 
-def _paths(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, place: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
-    """Complete paths from nodes to their chunks' ends: (number of arcs of each, all arcs in order)."""
-    steps, arcs, depth = [], [], 0
+def _paths(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, many: np.ndarray, place: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
+    """Complete paths from nodes to their chunks' ends, ``many`` nodes of each key: (number of arcs of each, all arcs in order)."""
+    steps, arcs = [], []
     long = end - node > LONG_CHUNK
-    walked = [(i, _walk(lat, int(node[i]), int(end[i]), int(key[i]), int(place[i]), stream)) for i in np.flatnonzero(long).tolist()]
+    chunks = np.flatnonzero(long)
+    keys = key[np.searchsorted(np.cumsum(many), chunks, side="right")]
+    walked = [(i, _walk(lat, int(node[i]), int(end[i]), int(k), int(place[i]), stream)) for i, k in zip(chunks.tolist(), keys.tolist(), strict=True)]
     who = np.flatnonzero(~long)
-    at, key, place, end = node[who], key[who], place[who], end[who]
+    seed = np.repeat(_salted(key, stream), many) + place.astype(np.uint64) * _STEP
+    at, seed, end = node[who], seed[who], end[who]
     while len(who):
-        arc = lat.draw(at, uniform(key, stream, place + depth))
+        arc = lat.draw(at, _unit(seed))
         steps.append(who)
         arcs.append(arc)
         at = lat.stop[arc]
-        go = at < end
-        who, at, key, place, end = who[go], at[go], key[go], place[go], end[go]
-        depth += 1
+        go = np.flatnonzero(at < end)
+        who, at, seed, end = who[go], at[go], seed[go] + _STEP, end[go]
     count = np.zeros(len(node), np.int64)
     for s in steps:
         count[s] += 1
@@ -363,7 +376,7 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list
             places.append(w)
         text_of = np.array([t[0] for t in todo], np.int64)
         many = np.array(sizes, np.int64)
-        counts, arcs = _paths(lat, np.concatenate(nodes), np.concatenate(ends), np.repeat(key[text_of], many), np.concatenate(places), 16 + round_)
+        counts, arcs = _paths(lat, np.concatenate(nodes), np.concatenate(ends), key[text_of], many, np.concatenate(places), 16 + round_)
         chunk_bound = np.concatenate([[0], np.cumsum(many)])
         arc_bound = np.concatenate([[0], np.cumsum(counts)])[chunk_bound]
         # New regions: one per decision from the chosen arc (or the start) on.
@@ -388,7 +401,7 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int = K) -> list
             free[head] = np.where(gone > 1 - 1e-12, -np.inf, np.log(1.0 - gone))
             inner = np.arange(len(every)) - np.repeat(bound - np.array(place), size)
             # Gumbel values before truncation; truncation at the value taken keeps their order within a text.
-            cut = before + free - np.log(-np.log(uniform(np.repeat(key[text_of], size), 1024 + round_, inner)))
+            cut = before + free - np.log(-np.log(_unit(np.repeat(_salted(key[text_of], 1024 + round_), size) + inner.astype(np.uint64) * _STEP)))
         del free, inner
         left = k - round_  # no more of a text's regions can ever be wanted
         nxt = []
