@@ -7,7 +7,10 @@ An archive is a folder of two Parquet tables and a manifest, written and read by
 * ``files``: one row per file; ``manifest``: one JSON row.
 
 ``write_single`` and the ``blockarchive`` data source handle the single-file form: magic, big-endian manifest length,
-JSON manifest, payloads.  Its sink is one file, so payloads stream through the driver one partition at a time.
+JSON manifest, payloads, index.  The index lists files and their blocks in sections of bounded size, each compressed JSON,
+followed by a directory of the sections, its length and ``END``; only the directory is ever read whole, and tasks read
+the sections.  Files whose manifest lists all blocks itself, as older ones do, are read as well.  Its sink is one file, so
+payloads and sections, made by the executors, stream through the driver one partition at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import json
 import os
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -37,7 +41,13 @@ from blockloom.sources import ranged, safetensors
 
 VERSION = 7
 MAGIC = b"BLKARC\x01\x00"
+#: The last bytes of a single file that has an index.
+END = b"BLKIDX\x01\x00"
 MOST_MANIFEST = 100 << 20
+#: A section of the index ends after so many blocks, or files, or bytes of payloads.
+SECTION_ROWS, SECTION_BYTES = 4096, 16 << 20
+#: Payloads travel to the single file, and blocks come from it, about so many bytes at a time.
+CHUNK_BYTES = 4 << 20
 TOOL = "blockloom"
 #: Descriptions of blocks (some 150 bytes each) that may be broadcast.
 BROADCAST_BLOCKS = 500_000
@@ -504,24 +514,117 @@ def report(found: dict) -> str:
 # --- the single-file form ---
 
 
+def _sections(batches: Iterator) -> Iterator:
+    """Files with their blocks, a row each and in order, as sections of the index."""
+    import pyarrow as pa
+
+    files, rows, size = [], 0, 0
+
+    def made():
+        raw = zlib.compress(json.dumps({"files": files}).encode())
+        row = [files[0]["path"], files[-1]["path"], size, hashlib.sha256(raw).hexdigest(), raw]
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["first", "last", "payloads", "sha256", "data"])
+
+    for r in (r for batch in batches for i in range(0, batch.num_rows, 500) for r in batch.slice(i, 500).to_pylist()):
+        block = r.pop("block")
+        if not files or files[-1]["path"] != r["path"]:
+            files.append(r | {"blocks": []})
+        if block is not None:
+            files[-1]["blocks"].append(block)
+            size += block["compressed_size"] or 0
+        rows += 1
+        if rows >= SECTION_ROWS or size >= SECTION_BYTES:
+            yield made()
+            files, rows, size = [], 0, 0
+    if files:
+        yield made()
+
+
+def _chunks(batches: Iterator) -> Iterator:
+    """Payloads in order, joined to fewer rows."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        for payload in batch.column(0):
+            held.append(payload.as_py())
+            n += len(held[-1])
+            if n >= CHUNK_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["data"])
+                held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["data"])
+
+
 def write_single(archive: Archive, path: str, magic: bytes = MAGIC) -> int:
     """Write the folder form as one file; duplicates point at the payload of their canonical block.  Returns its size."""
-    stored = archive.blocks.where(F.col("payload").isNotNull()).select("global_id", F.col("compressed_size").cast("long").alias("n"))
-    offsets = B.running_total(stored, ["global_id"], "n", "offset").select("global_id", "offset")
-    meta = archive.blocks.drop("payload").join(offsets, "global_id", "left").orderBy("path", "block_index")
-    files: dict[str, dict] = {r["path"]: r.asDict() | {"blocks": []} for r in archive.files.orderBy("path").toLocalIterator()}
-    for r in meta.toLocalIterator():
-        files[r["path"]]["blocks"].append({"index": r["block_index"], "id": r["global_id"], "original_size": r["block_size"], "content_sha256": r["content_sha256"], "codec": r["codec"], "metadata": r["codec_metadata"], "compressed_size": r["compressed_size"], "hash": r["payload_sha256"], "offset": r["offset"], "dedup_ref": r["dedup_ref"]})
-    body = json.dumps(archive.manifest() | {"files": list(files.values())}).encode()
-    if len(body) > MOST_MANIFEST:
-        raise ArchiveError("the manifest is too large for the single-file form")
+    ship(archive.spark)
+    bounded_batches(archive.spark)
+    blocks = archive.blocks
+    parts = [F.col("codec"), F.col("codec_metadata").alias("metadata"), F.col("compressed_size").cast("long").alias("compressed_size"), F.col("payload_sha256").alias("hash")]
+    stored = blocks.where(F.col("payload").isNotNull())
+    places = B.running_total(stored.select(F.col("global_id").alias("_id"), *parts), ["_id"], "compressed_size", "offset")
+    own = F.when(F.col("dedup_ref") >= 0, F.col("dedup_ref")).otherwise(F.col("global_id")).alias("_id")
+    named = blocks.select("path", F.col("block_index").alias("index"), F.col("global_id").alias("id"), F.col("block_size").alias("original_size"), "content_sha256", "dedup_ref", own)
+    block = F.struct("index", "id", "original_size", "content_sha256", "codec", "metadata", "compressed_size", "hash", "offset", "dedup_ref").alias("block")
+    listed = archive.files.join(named.join(places, "_id", "left").select("path", block), "path", "left").orderBy("path", "block.index")
+    body = json.dumps(archive.manifest()).encode()
+    directory = []
     with open(path, "wb") as o:
         o.write(magic + struct.pack(">Q", len(body)) + body)
-        for r in archive.blocks.where(F.col("payload").isNotNull()).select("global_id", "payload").orderBy("global_id").toLocalIterator():
-            o.write(r["payload"])
+        for r in stored.select("global_id", "payload").orderBy("global_id").select("payload").mapInArrow(_chunks, "data binary").toLocalIterator():
+            o.write(r["data"])
+        for r in listed.mapInArrow(_sections, "first string, last string, payloads long, sha256 string, data binary").toLocalIterator():
+            directory.append({"offset": o.tell(), "size": len(r["data"])} | {k: r[k] for k in ("sha256", "first", "last", "payloads")})
+            o.write(r["data"])
+        raw = zlib.compress(json.dumps(directory).encode())
+        o.write(raw + struct.pack(">Q", len(raw)) + END)
         return o.tell()
 
 
+def _inflated(raw: bytes, what: str):
+    """The value of compressed JSON of at most MOST_MANIFEST bytes."""
+    try:
+        inflater = zlib.decompressobj()
+        body = inflater.decompress(raw, MOST_MANIFEST)
+        if not inflater.eof:
+            raise ArchiveError(f"{what} too large or truncated")
+        return json.loads(body)
+    except (zlib.error, ValueError) as e:
+        raise e if isinstance(e, ArchiveError) else ArchiveError(f"invalid {what}: {e}") from e
+
+
+def read_single_directory(path: str, start: int) -> list[dict]:
+    """The sections of a single file's index: where each is, its checksum, first and last path, and how many bytes of payloads it names."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        f.seek(max(size - 16, 0))
+        tail = f.read(16)
+        if size - 16 < start or tail[8:] != END:
+            raise ArchiveError("index missing or truncated")
+        (n,) = struct.unpack(">Q", tail[:8])
+        if n > MOST_MANIFEST or start + n > size - 16:
+            raise ArchiveError("directory of the index too large or truncated")
+        f.seek(size - 16 - n)
+        found = _inflated(f.read(n), "directory of the index")
+    keys = ("offset", "size", "payloads")
+    if not isinstance(found, list) or not all(isinstance(x, dict) and all(isinstance(x.get(k), int) for k in keys) and all(isinstance(x.get(k), str) for k in ("sha256", "first", "last")) for x in found):
+        raise ArchiveError("invalid directory of the index")
+    if any(x["offset"] < start or not 0 <= x["size"] <= MOST_MANIFEST or x["offset"] + x["size"] > size - 16 - n for x in found):
+        raise ArchiveError("a section lies outside the index")
+    return found
+
+
+def read_single_section(path: str, section: dict) -> list[dict]:
+    """The files of a section, each with its blocks there; a file of many blocks goes on in the next section."""
+    with open(path, "rb") as f:
+        f.seek(section["offset"])
+        raw = f.read(section["size"])
+    if hashlib.sha256(raw).hexdigest() != section["sha256"]:
+        raise ArchiveError("a section of the index differs from its checksum")
+    return _inflated(raw, "section of the index")["files"]
+
+
 def read_single_manifest(path: str, magic: bytes = MAGIC) -> tuple[dict, int]:
     """(manifest, start of the payloads); hostile headers are refused."""
     size = os.path.getsize(path)
@@ -541,8 +644,10 @@ def read_single_manifest(path: str, magic: bytes = MAGIC) -> tuple[dict, int]:
 
 
 class _Part(InputPartition):
-    def __init__(self, rows: list[tuple]):
-        self.rows = rows
+    """Blocks to read: described by ``rows``, or by sections of the index, whose payloads lie behind ``start``."""
+
+    def __init__(self, rows: list[tuple], sections: list[dict], start: int):
+        self.rows, self.sections, self.start = rows, sections, start
 
 
 class _Reader(DataSourceReader):
@@ -554,29 +659,68 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         manifest, start = read_single_manifest(self.path, self.magic)
-        by_id = {b["id"]: b for f in manifest["files"] for b in f["blocks"]}
-        parts, rows, size = [], [], 0
-        for f in manifest["files"]:
-            if self.paths is not None and f["path"] not in self.paths:
+        if "files" in manifest:
+            return self.listed(manifest["files"], start)
+        parts, sections, size = [], [], 0
+        for s in read_single_directory(self.path, start):
+            if self.paths is not None and not any(s["first"] <= p <= s["last"] for p in self.paths):
                 continue
-            for b in f["blocks"]:
-                s = by_id[b["dedup_ref"]] if b["dedup_ref"] >= 0 else b
-                rows.append((f["path"], b["index"], b["original_size"], b["content_sha256"], s["codec"], s["metadata"], s["compressed_size"], s["hash"], start + s["offset"]))
-                size += s["compressed_size"]
+            sections.append(s)
+            size += s["payloads"]
+            if size >= self.part_bytes:
+                parts.append(_Part([], sections, start))
+                sections, size = [], 0
+        return [*parts, _Part([], sections, start)]
+
+    def listed(self, files: list[dict], start: int) -> list[_Part]:
+        """Of older files, whose manifest lists all blocks and describes payloads at their first block only."""
+        by_id = {b["id"]: b for f in files for b in f["blocks"]}
+        parts, rows, size = [], [], 0
+        for f in files:
+            for row in self.described(f, start, by_id):
+                rows.append(row)
+                size += row[6]
                 if size >= self.part_bytes:
-                    parts.append(_Part(rows))
+                    parts.append(_Part(rows, [], start))
                     rows, size = [], 0
-        return [*parts, _Part(rows)]
+        return [*parts, _Part(rows, [], start)]
+
+    def described(self, f: dict, start: int, by_id: dict | None = None) -> Iterator[tuple]:
+        """What it takes to read each block of a file."""
+        if self.paths is not None and f["path"] not in self.paths:
+            return
+        for b in f["blocks"]:
+            s = by_id[b["dedup_ref"]] if by_id and b["dedup_ref"] >= 0 else b
+            if s["offset"] is None:
+                raise ArchiveError(f"{f['path']}, block {b['index']}: its payload is not in this file")
+            yield f["path"], b["index"], b["original_size"], b["content_sha256"], s["codec"], s["metadata"], s["compressed_size"], s["hash"], start + s["offset"]
 
     def read(self, partition):
+        """Batches of about CHUNK_BYTES: rows would be gathered by the thousand, whatever the size of their blocks."""
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+        def made():
+            columns = [pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["path", "block_index", "block_size", "content_sha256", "codec", "data"])
+
+        held, size = [], 0
+        named = (row for s in partition.sections for f in read_single_section(self.path, s) for row in self.described(f, partition.start))
         with open(self.path, "rb") as f:
-            for path, index, original, sha, name, meta, n, payload_sha, at in partition.rows:
+            for path, index, original, sha, name, meta, n, payload_sha, at in partition.rows or named:
                 f.seek(at)
                 payload = f.read(n)
                 if len(payload) != n or hashlib.sha256(payload).hexdigest() != payload_sha:
                     raise ArchiveError(f"{path}, block {index}: payload is short or differs from its checksum")
                 data = codecs.decode(payload, name, original, json.loads(meta or "{}"))
-                yield path, index, original, sha, name, data
+                held.append((path, index, original, sha, name, data))
+                size += len(data)
+                if size >= CHUNK_BYTES or len(held) >= SECTION_ROWS:
+                    yield made()
+                    held, size = [], 0
+        if held:
+            yield made()
 
 
 class BlockArchive(DataSource):

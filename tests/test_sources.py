@@ -53,6 +53,62 @@ def test_archive(spark, tmp_path):
     assert spark.read.format("blockarchive").option("only", '["a/y.bin"]').load(f"{tmp_path}/one.blk").count() == 5
 
 
+def test_single_file_index(spark, tmp_path, monkeypatch):
+    """More blocks than a manifest may name: the index is read in sections, its head stays small, and damage is found."""
+    rows = [(f"d/{i:02}", bytes([i]) * (40 * i)) for i in range(30)] + [("e", b"B" * 5000), ("f", b"B" * 5000)]
+    A.pack(files(spark, rows), f"{tmp_path}/a", 16, codec="raw")
+    monkeypatch.setattr(A, "MOST_MANIFEST", 20_000)  # all blocks listed in one manifest take some 700 kB
+    path = f"{tmp_path}/one.blk"
+    A.write_single(A.Archive(spark, f"{tmp_path}/a"), path)
+    manifest, start = A.read_single_manifest(path)
+    assert "files" not in manifest and manifest["total_files"] == 32 and start < 2000
+    monkeypatch.undo()
+    sections = A.read_single_directory(path, start)
+    listed = [f for s in sections for f in A.read_single_section(path, s)]
+    assert {f["path"]: f["size"] for f in listed} == {p: len(c) for p, c in rows}
+    A.register(spark)
+    df = spark.read.format("blockarchive").option("partition_bytes", "100").load(path)
+    whole = B.reconstruct(df.withColumn("file_id", F.lit(0)))
+    assert {r["path"]: bytes(r["data"]) for r in whole.collect()} == {p: c for p, c in rows if c}
+    assert df.count() == sum(-(-len(c) // 16) for _, c in rows)
+    assert spark.read.format("blockarchive").option("only", '["e", "d/03"]').load(path).count() == 313 + 8
+    raw = (tmp_path / "one.blk").read_bytes()
+    for bad in (raw[:-1], raw[:start], raw[:-16] + struct.pack(">Q", 1 << 40) + A.END, raw[:-17] + b"x" + raw[-16:]):
+        (tmp_path / "bad").write_bytes(bad)
+        with pytest.raises(A.ArchiveError):
+            A.read_single_directory(f"{tmp_path}/bad", start)
+    at = sections[0]["offset"] + 20
+    (tmp_path / "bad").write_bytes(raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :])
+    with pytest.raises(A.ArchiveError):
+        A.read_single_section(f"{tmp_path}/bad", sections[0])
+
+
+def test_single_file_sections():
+    """Sections end after so many rows; a file of more blocks goes on in the next."""
+    import zlib
+
+    import pyarrow as pa
+
+    rows = [{"path": "a", "block": {"index": i, "compressed_size": 1}} for i in range(A.SECTION_ROWS + 5)] + [{"path": "b", "block": None}]
+    made = [r for b in A._sections(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert [(r["first"], r["last"], r["payloads"]) for r in made] == [("a", "a", A.SECTION_ROWS), ("a", "b", 5)]
+    named = [(f["path"], b["index"]) for r in made for f in json.loads(zlib.decompress(r["data"]))["files"] for b in f["blocks"]]
+    assert named == [("a", i) for i in range(A.SECTION_ROWS + 5)]
+
+
+def test_single_file_of_older_versions(spark, tmp_path):
+    """A manifest that lists all blocks itself is still read, duplicates by the payload of their first block."""
+    import hashlib
+
+    block = {"index": 0, "id": 0, "original_size": 5, "content_sha256": "s", "codec": "raw", "metadata": "{}", "compressed_size": 5, "hash": hashlib.sha256(b"hello").hexdigest(), "offset": 0, "dedup_ref": -1}
+    again = block | {"id": 1, "codec": None, "metadata": None, "compressed_size": None, "hash": None, "offset": None, "dedup_ref": 0}
+    body = json.dumps({"version": 7, "files": [{"path": "a", "blocks": [block]}, {"path": "b", "blocks": [again]}, {"path": "c", "blocks": []}]}).encode()
+    (tmp_path / "old.blk").write_bytes(A.MAGIC + struct.pack(">Q", len(body)) + body + b"hello")
+    A.register(spark)
+    got = spark.read.format("blockarchive").load(f"{tmp_path}/old.blk").collect()
+    assert sorted((r["path"], bytes(r["data"])) for r in got) == [("a", b"hello"), ("b", b"hello")]
+
+
 def test_hostile_archives(spark, tmp_path):
     for bad in ([("../x", b"a")], [("/x", b"a")], [("a//b", b"a")], [("C:x", b"a")], [("a", b"1"), ("a", b"2")], [("a\x01", b"a")], [(" ", b"a")]):
         with pytest.raises(A.ArchiveError):
