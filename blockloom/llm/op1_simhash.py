@@ -237,17 +237,19 @@ def text_node(column: str):
 
 
 def _sketches(docs: DataFrame, id_column: str, column: str, size: int) -> DataFrame:
-    """(id, node, size: how many distinct shingles, bands)."""
+    """(id, node, fp: the fingerprint of this operator, size: how many distinct shingles, bands)."""
     src = docs.select(id_column, column, text_node(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _multipliers()
         for batch in batches:
-            sets = [shingle_set((x or "").encode("utf-8", "surrogatepass"), size) for x in batch.column(1).to_pylist()]
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            fps = np.array([fingerprint(shingle_hashes(x)) for x in raw], np.uint64).view(np.int64)
+            sets = [shingle_set(x, size) for x in raw]
             bands = pa.array([near_bands(h, by) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(h) for h in sets], pa.int64()), bands], names=["id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps), pa.array([len(h) for h in sets], pa.int64()), bands], names=["id", "node", "fp", "size", "bands"])
 
-    named = src.mapInArrow(tidied(run), f"id {src.schema[0].dataType.simpleString()}, node long, size long, bands array<long>")
+    named = src.mapInArrow(tidied(run), f"id {src.schema[0].dataType.simpleString()}, node long, fp long, size long, bands array<long>")
     return named.withColumnRenamed("id", id_column)
 
 
@@ -330,20 +332,30 @@ def _apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where("u_root <> v_root").select("u", "v")
 
 
+def _fingerprint_groups(nodes: DataFrame) -> DataFrame:
+    """(node, size, key): the nodes by the component of their fingerprint, found as in ``components``."""
+    fps = cut(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = connected_components(links(fps.select("fp")))
+    named = cut(fps.join(roots, roots.node == fps.fp, "left").select("fp", "n", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key")))
+    return join_spread(nodes.select("node", "size", "fp"), named, ["fp"], "n", nodes.count()).select("node", "size", "key")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", column: str = "text", size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, component_id): texts with at least this Jaccard similarity of their word shingles share a component.
 
-    A node is a distinct text, known by a hash of 64 bits (among n texts some n**2 / 2**65 pairs share one by chance).  Candidates: nodes that share a MinHash band.  Each is first compared with the smallest node
+    A node is a distinct text, known by a hash of 64 bits (among n texts some n**2 / 2**65 pairs share one by chance).  Candidates: nodes whose fingerprints link, directly or through others
+    (fingerprints, ball hashing and components are those of ``components``), and, since three bits bridge few of the pairs near the limit,
+    also nodes that share a MinHash band.  Below, both are bands.  Each node is first compared with the smallest node
     of every band that it is in.  Where this leaves a band's nodes in several components, all its pairs across components are
     compared: small groups as pairs, larger ones in blocks, every block with every other, in tasks of their own.  No candidate
     goes unverified unless its ends are connected already.
     """
     bounded_batches(docs.sparkSession)
     marked = stash(_sketches(docs, id_column, column, size))
-    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.count("*").alias("n")))
+    nodes = stash(marked.groupBy("node").agg(F.min(id_column).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.count("*").alias("n")))
     w = Window.partitionBy("key")
     # In a band's group: how many it has, and the smallest node.
-    met = nodes.select("node", "size", F.explode("bands").alias("key")).withColumn("n", F.count("*").over(w)).withColumn("low", F.min(F.struct("node", "size")).over(w))
+    met = nodes.select("node", "size", F.explode("bands").alias("key")).unionByName(_fingerprint_groups(nodes)).withColumn("n", F.count("*").over(w)).withColumn("low", F.min(F.struct("node", "size")).over(w))
     met = cut(met.where("n > 1").select("key", "node", "size", "n", F.col("low.node").alias("centre"), F.col("low.size").alias("centre_size")))
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity  # noqa: E731  no smaller set can be so similar to a larger one
     pairs = cut(met.where("node <> centre").where(fits("size", "centre_size")).groupBy("node", "centre").agg(F.count("*").alias("n")))

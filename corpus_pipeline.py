@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a similarity of 0.8 or more on shingles of five words stays."""
+    """One document of each group of near duplicates stays: SimHash links and shared MinHash bands, checked for a similarity of 0.8 or more on shingles of five words."""
     return op1_simhash.drop_near_duplicates(docs)
 
 

@@ -707,3 +707,28 @@ def test_hot_keys_join_like_others(spark):
 
 def test_shared_folder_is_used(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_near_duplicates_by_fingerprint(spark, monkeypatch):
+    """Near copies whose fingerprints link are found without any band, and an exact check follows."""
+    import random
+
+    import numpy as np
+
+    pick = random.Random(4)
+    word = lambda: f"w{pick.randrange(10**6)}"
+    texts = []
+    while len(texts) < 24:
+        words = [word() for _ in range(400)]
+        other = " ".join([*words[:200], word(), *words[201:]])
+        first, second = (op1_simhash.fingerprint(op1_simhash.shingle_hashes(x.encode())) for x in (" ".join(words), other))
+        if 0 < (first ^ second).bit_count() <= 3:
+            texts += [" ".join(words), other]
+    # The same fingerprint by one line that comes again and again, but other words behind it.
+    line = "one line of just seven plain words " * 200
+    texts += [line + " ".join(word() for _ in range(40)) for _ in range(2)]
+    assert len({op1_simhash.fingerprint(op1_simhash.shingle_hashes(x.encode())) for x in texts[-2:]}) == 1
+    monkeypatch.setattr(op1_simhash, "near_bands", lambda h, by: np.arange(32, dtype=np.int64) + h.sum().astype(np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in op1_simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {*range(0, 24, 2), 24, 25}
