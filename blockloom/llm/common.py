@@ -24,13 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches in this session (rows alone do not bound memory), and ship the package."""
+    """Bound the bytes of Arrow batches in this session, unless they are bounded more tightly (rows alone do not bound memory), and ship the package."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark, BATCH_BYTES)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 10_000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
+def bound_batches(spark: SparkSession, most: int) -> None:
+    """No Arrow batch of this session takes more bytes, but for single rows that do; a tighter bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage of a wide result by writing it as Parquet into the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
@@ -58,10 +66,23 @@ def tidy(results: Iterator) -> Iterator:
         release()
 
 
-def tidied(f):
-    """Wrap a function over batches so that its worker tidies up after each partition."""
+#: What this worker keeps for later tasks of one operator.
+KEPT: dict[tuple, object] = {}
+
+
+def drop_kept() -> None:
+    """Let go of what another operator's tasks left in this worker."""
+    if KEPT:
+        KEPT.clear()
+        release()
+
+
+def tidied(f, keeps: bool = False):
+    """Wrap a function over batches so that its worker tidies up after each partition, and before it unless its operator ``keeps`` things."""
 
     def run(batches: Iterator) -> Iterator:
+        if not keeps:
+            drop_kept()
         return tidy(f(batches))
 
     return run

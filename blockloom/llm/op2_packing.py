@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", ca
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(made[:, 0], pa.int32())] + [pa.array(made[:, j]) for j in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, extra[0].type)] if keep_ids else []), names=[id_column, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return src.mapInArrow(tidied(cut), ddl)
+    return src.mapInArrow(tidied(cut, keeps=True), ddl)
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -137,7 +137,7 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY, group_rows: i
         if held:
             yield from packed()
 
-    return items.repartition(groups).mapInArrow(tidied(place), ddl)
+    return items.repartition(groups).mapInArrow(tidied(place, keeps=True), ddl)
 
 
 def pack_documents(docs: DataFrame, model: str | None = None, kind: str = "byte_bpe", capacity: int = CAPACITY, id_column: str = "doc_id", column: str = "text", keep_ids: bool = False, group_rows: int = GROUP_ROWS, cache_entries: int = tokens.MOST_ENTRIES) -> DataFrame:

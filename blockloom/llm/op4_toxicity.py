@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import best_cut, bounded_batches, labelled_sample, release, table
+from blockloom.llm.common import best_cut, bounded_batches, drop_kept, labelled_sample, release, table
 
 WIDTHS = (1, 2, 3)
 FILTERS = 16
@@ -294,6 +294,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "text", out: tuple
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         f = sent.value.scorer()
         for batch in batches:
             yield pa.array(f([x or "" for x in batch.to_pylist()]).astype(np.float64))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import best_cut, bounded_batches, labelled_sample, release, table, utf8
+from blockloom.llm.common import best_cut, bounded_batches, drop_kept, labelled_sample, release, table, utf8
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE = 8, 4
@@ -200,6 +200,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "text", out: str =
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_kept()
         m = sent.value
         for batch in batches:
             yield pa.array(m.probability(m.logits(*flat(batch.to_pylist()))))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from blockloom.llm.common import bounded_batches, quoted, release, remove, shared_dir, stash, table, text_or_empty, tidied, utf8
+from blockloom.llm.common import bounded_batches, drop_kept, quoted, release, remove, shared_dir, stash, table, text_or_empty, tidied, utf8
 
 LENGTH = 50
 DIGESTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
@@ -69,23 +69,29 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     sa = np.argsort(key).astype(np.int32)
     sorted_key = key[sa]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    del key, sorted_key
     place = np.arange(n, dtype=np.int32)
     rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, place, 0))
-    del key, sorted_key
     h = 8
     loose = place[~(new & np.concatenate([new[1:], [True]]))]  # places in groups of two or more
+    del place
     while h < depth and len(loose):
         sub = sa[loose]
         ahead = sub + h
-        mixed = rank[sub].astype(np.int64) * (n + depth)
+        mixed = rank[sub].astype(np.int64)
+        mixed *= n + depth
         # Of suffixes that end within h bytes and tie with zero bytes, the shorter comes first.
         mixed += np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + depth, np.maximum(0, n + depth - 1 - ahead))
+        del ahead
         order = np.argsort(mixed)
-        sub, mixed = sub[order], mixed[order]
+        sub = sub[order]
+        mixed = mixed[order]
+        del order
         sa[loose] = sub
         new = np.concatenate([[True], mixed[1:] != mixed[:-1]])
-        rank[sub] = loose[np.maximum.accumulate(np.where(new, np.arange(len(loose)), 0))]
+        del mixed
+        rank[sub] = loose[np.maximum.accumulate(np.where(new, np.arange(len(loose), dtype=np.int32), 0))]
         loose = loose[~(new & np.concatenate([new[1:], [True]]))]
         h *= 2
     return sa
@@ -142,9 +148,10 @@ def window_classes(data: np.ndarray, valid: np.ndarray, owner: np.ndarray, lengt
     at, group = sa[ok], group[ok]
     new = np.concatenate([[True], group[1:] != group[:-1]])
     heads = np.flatnonzero(new)
-    number = np.cumsum(new) - 1
+    number = np.cumsum(new, dtype=np.int32) - 1
     least = np.minimum.reduceat(owner[at], heads)
-    strings = data[at[heads][:, None] + np.arange(length)].view(f"S{length}").ravel() if with_strings else np.zeros(0, f"S{length}")
+    # Rows of a view: an index of a number for each byte would take 8 times the strings.
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[at[heads]].view(f"S{length}").ravel() if with_strings else np.zeros(0, f"S{length}")
     of = np.empty(len(data), np.int32)
     of[at] = number
     return of[valid], strings, least
@@ -185,8 +192,7 @@ def smallest_owners(contexts: list[bytes], owners: np.ndarray, length: int, part
     for a, b in bounds:
         lengths = np.array([len(c) for c in contexts[a:b]])
         data = np.frombuffer(b"".join(contexts[a:b]), np.uint8)
-        ends = np.repeat(np.cumsum(lengths), lengths)
-        valid = np.arange(len(data)) + length <= ends
+        valid = np.arange(len(data)) + length <= np.repeat(np.cumsum(lengths), lengths)
         parts.append(window_classes(data, valid, np.repeat(owners[a:b], lengths), length, len(bounds) > 1))
     return np.concatenate(merge_classes(parts))
 
@@ -286,6 +292,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", column: str = "te
     fields = docs.select(*[F.col(quoted(c)) for c in kept_columns]).schema
 
     def pack(t: pa.Table) -> pa.Table:
+        drop_kept()
         t = t.combine_chunks()
         ids = t.column("order").to_numpy()
         text = t.column("text")
@@ -341,6 +348,8 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
         flag[order] = again
         cuts = np.cumsum([len(x) for x in parts])[:-1]
         bits = [np.packbits(x).tobytes() for x in np.split(flag, cuts)]
+        del every, order, s, again, flag
+        release()
         return pa.table({"bucket": t.column("bucket"), "target": t.column("target"), "bits": pa.array(bits, pa.binary())})
 
     sent = texts.select("bucket", "ids", "offsets", "data").mapInArrow(tidied(send), "bucket int, target int, hashes binary")
@@ -434,7 +443,8 @@ def _removed(texts: DataFrame, fields, targets: int, shards: int, length: int, p
                     s = starts[(bits >> np.uint64(k)) & np.uint64(1) == 1] + k
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + length, -1)
-            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            gone = np.cumsum(edge, out=edge)[:-1] > 0
+            del edge
             n = np.diff(offsets)
             removed, spans, digest, kept = [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

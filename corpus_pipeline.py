@@ -13,14 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import op1_simhash, op2_packing, op4_toxicity, op5_quality, op7_suffix_dedup
-from blockloom.llm.common import fresh, stash, table
+from blockloom.llm.common import bound_batches, fresh, stash, table
 
 #: Pre-tokens that a worker keeps while packing; after four stages its memory is no longer all free.
 CACHE_ENTRIES = 250_000
+#: Bytes of one Arrow batch: what executors and workers hold of a stage's batches adds to what earlier stages left with them.
+BATCH_BYTES = 2 << 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the cut of their language go."""
+    bound_batches(spark, BATCH_BYTES)
     model = op4_toxicity.train(docs, table(spark, sf_dir, "labels"), op4_toxicity.learns)
     score, cut = fresh(docs, "score"), fresh(docs, "cut")
     return op4_toxicity.score(docs, model, out=(score, cut)).where(F.col(score) < F.col(cut)).drop(score, cut)
@@ -28,6 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the cut go."""
+    bound_batches(spark, BATCH_BYTES)
     model = op5_quality.train(docs, table(spark, sf_dir, "labels"), op5_quality.learns)
     if model is None:
         return docs
@@ -37,17 +41,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: SimHash links and shared MinHash bands, checked for a similarity of 0.8 or more on shingles of five words."""
+    bound_batches(spark, BATCH_BYTES)
     return op1_simhash.drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that start in an earlier document are cut out; n_chars follows the text."""
+    bound_batches(spark, BATCH_BYTES)
     kept = op7_suffix_dedup.remove_repeats(docs, with_digests=False)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
+    bound_batches(spark, BATCH_BYTES)
     return op2_packing.pack_documents(docs, cache_entries=CACHE_ENTRIES)
 
 

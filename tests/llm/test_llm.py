@@ -484,6 +484,23 @@ def test_merge_of_parts():
         assert op7_suffix_dedup.smallest_owners(contexts, owners, 8, size).tolist() == want
 
 
+def test_strings_of_large_parts_take_no_index():
+    """Of several parts of a shard every distinct window is kept: 50 bytes each, without a number for each of these."""
+    import tracemalloc
+
+    data = np.random.default_rng(2).integers(0, 250, 200_000).astype(np.uint8)
+    valid = np.arange(len(data)) + 50 <= len(data)
+    tracemalloc.start()
+    try:
+        _, strings, _ = op7_suffix_dedup.window_classes(data, valid, np.zeros(len(data), np.int64), 50)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    b = data.tobytes()
+    assert [x.ljust(50, b"\0") for x in strings.tolist()] == sorted(b[i : i + 50] for i in range(len(b) - 49))
+    assert most < 200 * len(data)
+
+
 # --- 8 ---
 
 
@@ -705,6 +722,26 @@ def test_hot_keys_join_like_others(spark):
     assert got == {i: (0 if i < 1500 else i) for i in range(3000)}
 
 
+def test_workers_drop_what_other_operators_kept():
+    """Workers live on: the token cache of one stage must not take memory in the others."""
+    run = lambda **how: list(common.tidied(lambda batches: batches, **how)(iter([1])))
+    cache = tokens.worker_cache(tokens.PreTokenCache, public_tokenizers.path(op2_packing.MODEL), "byte_bpe")
+    assert run(keeps=True) == [1] and cache in common.KEPT.values()
+    assert run() == [1] and not common.KEPT
+
+
+def test_tighter_bounds_of_batches_stay(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for now, want in (("1000", "1000"), ("64MB", str(common.BATCH_BYTES)), (str(1 << 30), str(common.BATCH_BYTES))):
+            spark.conf.set(name, now)
+            common.bounded_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_shared_folder_is_used(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 

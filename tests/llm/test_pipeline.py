@@ -104,3 +104,16 @@ def test_odd_rows(spark):
         docs = stash(stage(spark, docs, D))
         assert docs.columns == schema.names, name
     assert pipeline.packing(spark, docs, D).count() >= docs.count()
+
+
+def test_stages_bound_batches(spark):
+    """Each stage by itself bounds its batches to what the pipeline allows, whatever the session had before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(name), table(spark, D, "documents").limit(30)
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.set(name, str(64 << 20))
+            stage(spark, docs, D)
+            assert int(spark.conf.get(name)) <= 2 << 20
+    finally:
+        spark.conf.set(name, before)
